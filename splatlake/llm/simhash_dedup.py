@@ -139,6 +139,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: the smallest id and, where rows repeat that id, the one whose text hash is smallest.
+
+    Rows without an id cannot be named, so all of them stay.
+    """
+    check = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"), check.alias("__check"))
+    found = near_duplicates(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
+    stay = materialise(found.where(F.col("__id") == F.col("component")).groupBy("__id").agg(F.count("*").alias("n")))
+    single = rows.join(stay.where("n = 1").select("__id"), "__id", "left_semi").select("__row")
+    repeated = rows.join(stay.where("n > 1").select("__id"), "__id", "left_semi").groupBy("__id").agg(F.min_by("__row", "__check").alias("__row")).select("__row")
+    out = single.unionByName(repeated).unionByName(rows.where("__id is null").select("__row"))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
