@@ -53,14 +53,15 @@ class SplatFrame:
         parts = {k: np.asarray(arrays[k], np.float32) for k in ("means", "scales", "quats", "opacities", "sh0")}
         n = len(parts["means"])
         shn = arrays.get("shN")
-        shn = np.zeros((n, 0, 3), np.float32) if shn is None else np.asarray(shn, np.float32).reshape(n, -1, 3)
+        shn = np.zeros((n, 0, 3), np.float32) if shn is None else np.asarray(shn, np.float32)
+        shn = shn.reshape(n, shn.size // (3 * n) if n else 0, 3)
         columns: dict[str, object] = {"gid": np.arange(n)}
         for names, key in ((CENTRE, "means"), (COLOUR, "sh0"), (SCALE, "scales"), (ROTATION, "quats")):
             if parts[key].shape != (n, len(names)):
                 raise ValueError(f"{key} must have shape ({n}, {len(names)})")
             columns |= {c: parts[key][:, i] for i, c in enumerate(names)}
         columns["opacity"] = parts["opacities"].reshape(n)
-        columns["f_rest"] = pa.array(list(shn.transpose(0, 2, 1).reshape(n, -1)), pa.list_(pa.float32()))
+        columns["f_rest"] = pa.array(list(shn.transpose(0, 2, 1).reshape(n, 3 * shn.shape[1])), pa.list_(pa.float32()))
         return cls.from_columns(spark.createDataFrame(pa.table(columns)), format, degree_of_bands(shn.shape[1]))
 
     @classmethod
@@ -258,9 +259,9 @@ class SplatFrame:
             return frames[0]
         _same_format(frames)
         parts, start = [], 0
-        for f in frames:
+        for k, f in enumerate(frames, 1):
             parts.append(f.df.select(*GAUSSIANS.names).withColumn("gid", F.col("gid") + F.lit(start)))
-            start += len(f) if f is not frames[-1] else 0
+            start += len(f) if k < len(frames) else 0
         return SplatFrame(reduce(DataFrame.unionByName, parts), frames[0].state)
 
     # -- codec, export ---------------------------------------------------------------------------------------------
