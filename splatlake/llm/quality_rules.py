@@ -22,6 +22,7 @@ from .stats import RATIOS, ratio, training_sample, with_counts
 MAX_ROWS = 20_000
 PRECISION = 0.9
 LEAST = 5  # rows that a rule must reject rightly, in growing
+LEAST_TESTED = 3  # and in testing
 LONGEST = 3
 MOST_RULES = 16
 
@@ -54,10 +55,15 @@ def covers(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _precision(rule: Rule, x: np.ndarray, bad: np.ndarray) -> tuple[float, int]:
+def _counts(rule: Rule, x: np.ndarray, bad: np.ndarray) -> tuple[int, int]:
+    """Rows covered, and those of them that are bad."""
     at = covers(rule, x)
-    right = int((at & bad).sum())
-    return (right + 1) / (at.sum() + 2), right
+    return int(at.sum()), int((at & bad).sum())
+
+
+def _smoothed(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
+    covered, right = _counts(rule, x, bad)
+    return (right + 1) / (covered + 2)
 
 
 def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
@@ -93,14 +99,14 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
 def learn(x: np.ndarray, y: np.ndarray) -> list[Rule]:
     """Rules that reject, in order. y: 1 for rows to keep."""
     bad = y < 0.5
-    test = np.arange(len(x)) % 3 == 2
+    test = np.random.default_rng(0).random(len(x)) < 1 / 3
     rules: list[Rule] = []
     while len(rules) < MOST_RULES and (bad & ~test).sum() >= LEAST:
         rule = _grow(x[~test], bad[~test])
-        while len(rule) > 1 and _precision(rule[:-1], x[test], bad[test])[0] >= _precision(rule, x[test], bad[test])[0]:
+        while len(rule) > 1 and _smoothed(rule[:-1], x[test], bad[test]) >= _smoothed(rule, x[test], bad[test]):
             rule = rule[:-1]
-        precision, right = _precision(rule, x[test], bad[test])
-        if not rule or precision < PRECISION or not right:
+        covered, right = _counts(rule, x[test], bad[test])
+        if not rule or right < LEAST_TESTED or right < PRECISION * covered:
             break
         rules.append(rule)
         left = ~covers(rule, x)
