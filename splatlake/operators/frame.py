@@ -77,6 +77,18 @@ class SplatFrame:
 
         return read_ply(spark, path, columns)
 
+    @classmethod
+    def from_tagged(cls, df: DataFrame) -> SplatFrame:
+        """From a table that ``tagged`` made, for instance read back from Parquet."""
+        found = df.schema["gid"].metadata.get("splat")
+        if found is None:
+            raise ValueError("the gid column carries no format; use from_columns")
+        return cls(df, FormatState.from_metadata(found), [c.removeprefix(MASK_PREFIX) for c in df.columns if c.startswith(MASK_PREFIX)])
+
+    def tagged(self) -> DataFrame:
+        """The rows with the format in the gid column's metadata, which Parquet keeps."""
+        return self.df.withMetadata("gid", {"splat": self.state.to_metadata()})
+
     # -- format ----------------------------------------------------------------------------------------------------
 
     def _with(self, df: DataFrame | None = None, **changes: object) -> SplatFrame:
