@@ -11,7 +11,7 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import activation, codec, textures
@@ -21,8 +21,10 @@ from ..operators.detect import domains
 from ..operators.frame import SplatFrame
 from ..schema import BOUNDS, CENTRE, COLOUR, MASK_PREFIX, ROTATION, SCALARS, SCALE, SH_C0
 from ..sources import sog
+from ..sources.ply import decompress_bytes
+from ..sources.ply_sink import compress_to_bytes, compress_to_tables
 from ..state import FormatState
-from ..streaming.scenes import rows_in_box
+from ..streaming.scenes import in_box, meets_box
 from . import carriers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,9 +453,9 @@ def ply_range_scan(spark, sf_dir):
 
 @query("box_scan", f"SELECT gid, {_X} FROM ({PLAIN}) WHERE x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.2 AND 0.2 AND z BETWEEN 0 AND 0.3")
 def box_scan(spark, sf_dir):
-    """Rows in a box, chunks that miss it skipped by their bounds."""
-    rows = carriers.embeddings(spark, sf_dir)
-    return rows_in_box(rows, chunk_bounds(rows), (-0.1, -0.2, 0.0), (0.1, 0.2, 0.3)).select("gid", *rounded("x"))
+    """Rows in a box; chunks that miss it drop out by the bounds beside their rows."""
+    low, high = (-0.1, -0.2, 0.0), (0.1, 0.2, 0.3)
+    return with_bounds(carriers.embeddings(spark, sf_dir)).where(meets_box(low, high)).where(in_box(low, high)).select("gid", *rounded("x"))
 
 
 @query("unpack_all", f"SELECT count(*) AS n FROM ({WIDE})")
@@ -461,3 +463,23 @@ def unpack_all(spark, sf_dir):
     """The whole codec there and back in one pass."""
     back = unpack(_packed(spark, sf_dir), 3)
     return back.where(F.size("f_rest") == 45).agg(F.count("*").alias("n"))
+
+
+@query("bytes_roundtrip", "SELECT label % 4 AS scene, count(*) AS n, true AS within FROM embeddings GROUP BY 1")
+def bytes_roundtrip(spark, sf_dir):
+    """Four scenes, each packed into one value and unpacked again; centres within a step of their chunk's range."""
+    rows = SplatFrame.from_columns(carriers.embeddings(spark, sf_dir), degree=3).df
+    scene = carriers.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), (F.col("label") % 4).alias("scene"))
+    number = F.row_number().over(Window.partitionBy("scene").orderBy("gid")) - 1
+    scenes = rows.join(scene, "gid").withColumn("gid", number.cast("long"))
+    back = decompress_bytes(compress_to_bytes(scenes, 3), 3, "scene", "content")
+    met = back.join(scenes.select("scene", "gid", F.col("x").alias("x0")), ["scene", "gid"])
+    return met.groupBy("scene").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("x") - F.col("x0"))) < 2 / 2047).alias("within"))
+
+
+@query("packed_tables", f"SELECT chunk_id, count(*) AS n, {_bound('min', 'x', 'x')} >= -1 AS bounded FROM (SELECT gid >> 8 AS chunk_id, x FROM ({PLAIN})) GROUP BY 1")
+def packed_tables(spark, sf_dir):
+    """The chunk table beside the number of packed rows of each chunk."""
+    _, chunks, packed = compress_to_tables(SplatFrame.from_columns(carriers.embeddings(spark, sf_dir), degree=3))
+    n = packed.groupBy(F.shiftright("gid", 8).alias("chunk_id")).agg(F.count("*").alias("n"))
+    return chunks.join(n, "chunk_id").select("chunk_id", "n", (F.col("min_x") >= -1).alias("bounded"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bounds import chunk_id
+from ..operators.bounds import unpack
 from ..sources.ply import decompress_bytes
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -25,18 +29,19 @@ def scene_extents(rows: DataFrame, lateness: str = "10 minutes", window: str = "
         F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y", "z") for n, f in (("min", F.min), ("max", F.max))])
 
 
-def chunks_in_box(bounds: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
-    """Chunks whose box meets a box: zone maps for spatial scans."""
-    test = F.lit(True)
-    for a, lo, hi in zip("xyz", low, high, strict=True):
-        test = test & (F.col(f"min_{a}") <= hi) & (F.col(f"max_{a}") >= lo)
-    return bounds.where(test)
+Corner = tuple[float, float, float]
+
+
+def meets_box(low: Corner, high: Corner) -> Column:
+    """Whether the chunk whose bounds stand beside a row meets a box: zone maps for spatial scans."""
+    tests = [(F.col(f"min_{a}") <= hi) & (F.col(f"max_{a}") >= lo) for a, lo, hi in zip("xyz", low, high, strict=True)]
+    return reduce(and_, tests)
+
+
+def in_box(low: Corner, high: Corner) -> Column:
+    return reduce(and_, [F.col(a).between(lo, hi) for a, lo, hi in zip("xyz", low, high, strict=True)])
 
 
-def rows_in_box(rows: DataFrame, bounds: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
-    """Rows inside a box; chunks that miss it are left out by a semi-join on the chunk first."""
-    near = chunks_in_box(bounds, low, high).select("chunk_id")
-    test = F.lit(True)
-    for a, lo, hi in zip("xyz", low, high, strict=True):
-        test = test & F.col(a).between(lo, hi)
-    return rows.withColumn("chunk_id", chunk_id()).join(near, "chunk_id", "left_semi").where(test).drop("chunk_id")
+def packed_rows_in_box(packed: DataFrame, low: Corner, high: Corner, degree: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Gaussians in a box of packed rows beside their bounds: whole chunks drop out before anything is decoded; no shuffle."""
+    return unpack(packed.where(meets_box(low, high)), degree, by).where(in_box(low, high))

@@ -5,12 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from splatlake.operators.bounds import chunk_bounds
 from splatlake.operators.frame import SplatFrame
 from splatlake.sources import sog
 from splatlake.sources.ply import decompress_bytes, detect_format, parse_header
 from splatlake.sources.ply_sink import compress_to_bytes, compress_to_tables, compressed_header, output_path, plain_header
-from splatlake.streaming.scenes import rows_in_box, scene_extents, stream_scenes
+from splatlake.streaming.scenes import in_box, packed_rows_in_box, scene_extents, stream_scenes
 from tests.oracle import scene
 
 
@@ -189,7 +188,10 @@ def test_stream_of_scenes(spark, tmp_path):
 
 
 def test_box(spark):
-    rows = SplatFrame.from_dict(spark, scene(1000)).df
-    m = scene(1000)["means"]
-    want = int(((m > -0.5) & (m < 0.5)).all(1).sum())
-    assert rows_in_box(rows, chunk_bounds(rows), (-0.5,) * 3, (0.5,) * 3).count() == want
+    """Packed rows in a box are those whose decoded centres are in it, and the scan neither joins nor shuffles again."""
+    packed = SplatFrame.from_dict(spark, scene(1000)).pack()
+    low, high = (-0.5,) * 3, (0.5,) * 3
+    want = sorted(r.gid for r in SplatFrame.unpack(packed).df.where(in_box(low, high)).collect())
+    found = packed_rows_in_box(packed, low, high)
+    assert sorted(r.gid for r in found.collect()) == want and want
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
