@@ -29,14 +29,24 @@ def remainder(id_column: Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a session on one machine may leave it unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes the tables that ``materialise`` has left in the shared folder. Results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/splatlake-*")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(path) or ():
+        system.delete(found.getPath(), True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/splatlake-{uuid.uuid4().hex}"
