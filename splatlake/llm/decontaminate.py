@@ -104,7 +104,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    found = leaks(docs, items, id_col, text_col, share=share).select(F.col("id").alias("__id"), F.col("check").alias("__check")).distinct()
+    found = materialise(leaks(docs, items, id_col, text_col, share=share).select(F.col("id").alias("__id"), F.col("check").alias("__check")).distinct())
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("__check")), "left_anti")
 
 

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, connected_components, materialise, utf8
@@ -50,8 +50,8 @@ def fingerprint(text: bytes, n: int = 3) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
+        found = np.array([fingerprint(t) for t in utf8(batch.column(2))], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["id", "check", "fp"])
 
 
 @lru_cache(1)
@@ -128,30 +128,35 @@ def near_edges(classes: DataFrame, max_bucket: int = 64) -> DataFrame:
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).unionByName(stars.select(F.col("fp").alias("a"), F.col("low").alias("b"))).distinct()
 
 
+def text_check(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 64) -> DataFrame:
-    """(id, fp, component): the signed fingerprint of every row and the smallest id it reaches."""
-    prints = materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_fingerprints, "id long, fp long"))
+    """(id, check, fp, component): of every row the xxhash64 of its text, the signed fingerprint and the smallest id it reaches."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_check(F.col(text_col)).alias("check"), F.col(text_col).alias("text"))
+    prints = materialise(rows.mapInArrow(_fingerprints, "id long, check long, fp long"))
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("low")))
     roots = connected_components(near_edges(classes, max_bucket))
     rooted = materialise(classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lowest = materialise(rooted.groupBy("root").agg(F.min("low").alias("component")))
     known = materialise(rooted.join(lowest, "root").select("fp", "component"))
-    return prints.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component")
+    return prints.join(known, "fp", "left").select(F.col("id").alias(id_col), "check", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the smallest id and, where rows repeat that id, the one whose text hash is smallest.
 
-    Rows without an id cannot be named, so all of them stay.
+    Rows without an id cannot be named, so all of them stay. What goes is joined, which is less than what stays: texts are shuffled only
+    where the ids that go are too many to broadcast.
     """
-    check = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"), check.alias("__check"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"), text_check(F.col(text_col)).alias("__check"))
     found = near_duplicates(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
-    stay = materialise(found.where(F.col("__id") == F.col("component")).groupBy("__id").agg(F.count("*").alias("n")))
-    single = rows.join(stay.where("n = 1").select("__id"), "__id", "left_semi").select("__row")
-    repeated = rows.join(stay.where("n > 1").select("__id"), "__id", "left_semi").groupBy("__id").agg(F.min_by("__row", "__check").alias("__row")).select("__row")
-    out = single.unionByName(repeated).unionByName(rows.where("__id is null").select("__row"))
-    return out.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    gone = materialise(found.where(F.col("__id") != F.col("component")).select("__id", F.col("check").alias("__check")).distinct())
+    often = materialise(found.where(F.col("__id") == F.col("component")).groupBy("__id").count().where("count > 1").select("__id"))
+    single = rows.join(often, "__id", "left_anti").join(gone, ["__id", "__check"], "left_anti").select("__row")
+    repeated = rows.join(often, "__id", "left_semi").join(gone, ["__id", "__check"], "left_anti").groupBy("__id").agg(F.min_by("__row", "__check").alias("__row"))
+    return single.unionByName(repeated.select("__row")).select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
