@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-CACHE = 1 << 19
+CACHE = 1 << 18
 BYTE_CHARS = "".join(chr(0x100 + b) for b in range(256))
 #: Characters on which the interpreter's own classes and Unicode's letters, numbers and white space agree.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
