@@ -279,6 +279,26 @@ def test_substrings(spark, docs, none):
     assert substring_dedup.repeated_passages(none).count() == 0
 
 
+def test_rolling_hashes_tell_stretches_apart():
+    base = np.random.default_rng(3).integers(0, 3, 300).astype(np.uint64)
+    for width in (1, 2, 12, 46, 300, 301):
+        want = [tuple(base[k : k + width]) for k in range(len(base) - width + 1)]
+        got = substring_dedup._rolling(base, width).tolist()
+        assert len(got) == len(want) and len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_substrings_round_a_common_line(spark):
+    """Pairs that share 60 words of which 40 are a line of many shorter texts, so that minima lie in large groups whose shortest text lacks the passage."""
+    line = unlike(1000, 40)
+    texts = [unlike(1100 + k, 20) + " " + line + " " + unlike(1200 + k, 20) for k in range(40)]
+    for k in range(10):
+        passage = unlike(1300 + k, 2 * k) + " " + line + " " + unlike(1400 + k, 20 - 2 * k)
+        texts += [unlike(1500 + 2 * k + j, 60) + " " + passage + " " + unlike(1600 + 2 * k + j, 60) for j in (0, 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r.partner) for r in substring_dedup.repeated_passages(rows).collect()}
+    assert got == {40 + k: ([(60, 119)], 40 + (k ^ 1)) for k in range(20)}
+
+
 @pytest.mark.parametrize(("frequent", "nodes"), [(100_000, 2_000_000), (3, 2_000_000), (0, 300)])
 def test_ppm(docs, frequent, nodes):
     got = ppm.score_documents(docs.where("doc_id <> 11 and doc_id <> 10"), frequent=frequent, max_nodes=nodes).collect()
