@@ -256,10 +256,9 @@ def test_repeated_articles_stay(spark):
 def test_compact_windows_cover_every_passage():
     r = np.random.default_rng(2)
     for values in (r.integers(0, 2**63, 200, dtype=np.uint64), np.zeros(150, np.uint64), r.integers(0, 5, 120, dtype=np.uint64)):
-        centres = set(substring_dedup.compact_centres(values, np.array([len(values)]), 20).tolist())
+        windows = list(zip(*(x.tolist() for x in substring_dedup.compact_windows(values, np.array([len(values)]), 20)), strict=True))
         for k in range(len(values) - 19):
-            part = values[k : k + 20]
-            assert any(k <= c < k + 20 and values[c] == part.min() for c in centres)
+            assert [values[c] for first, c, last in windows if first <= k <= c < k + 20 <= last + 1] == [values[k : k + 20].min()]
 
 
 def test_substrings(spark, docs, none):
@@ -287,16 +286,75 @@ def test_rolling_hashes_tell_stretches_apart():
         assert len(got) == len(want) and len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
-def test_substrings_round_a_common_line(spark):
-    """Pairs that share 60 words of which 40 are a line of many shorter texts, so that minima lie in large groups whose shortest text lacks the passage."""
-    line = unlike(1000, 40)
-    texts = [unlike(1100 + k, 20) + " " + line + " " + unlike(1200 + k, 20) for k in range(40)]
-    for k in range(10):
-        passage = unlike(1300 + k, 2 * k) + " " + line + " " + unlike(1400 + k, 20 - 2 * k)
-        texts += [unlike(1500 + 2 * k + j, 60) + " " + passage + " " + unlike(1600 + 2 * k + j, 60) for j in (0, 1)]
+def near_passages(texts, least=50):
+    """Documents that hold a passage of ``least`` words whose shingles have a Jaccard similarity of 0.8 to one of another text, by looking at all pairs of passages."""
+    split = [(t or "").translate(brute.LOWER).split() for t in texts]
+    cuts = [{frozenset(tuple(w[k : k + 5]) for k in range(s, s + least - 4)) for s in range(len(w) - least + 1)} for w in split]
+    found = set()
+    for a in range(len(texts)):
+        for b in range(a):
+            if split[a] != split[b] and any(len(x & y) >= 0.8 * len(x | y) for x in cuts[a] for y in cuts[b]):
+                found |= {a, b}
+    return found
+
+
+def spoilt(text, k, r):
+    words = text.split()
+    for i in r.sample(range(len(words)), k):
+        words[i] = "".join(r.choices("qrstuvwxyz", k=6))
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("own", "others"), [(25, 20), (10, 20), (10, 40)])
+def test_exact_passages_are_found_round_a_common_line(spark, own, others):
+    """Pairs share 50 words, of which all but ``own`` are a line of many other texts: every pair is found, and nothing else."""
+    texts, want = [], {}
+    for k in range(12):
+        line = unlike(10_000 + k, 50 - own)
+        texts += [f"{unlike(20_000 + 100 * k + j, 20)} {line} {unlike(30_000 + 100 * k + j, 20)}" for j in range(others)]
+        passage = f"{unlike(40_000 + k, own // 2)} {line} {unlike(50_000 + k, own - own // 2)}"
+        want |= {len(texts) + j: ([(60, 109)], len(texts) + 1 - j) for j in (0, 1)}
+        texts += [f"{unlike(60_000 + 10 * k + j, 60)} {passage} {unlike(70_000 + 10 * k + j, 60)}" for j in (0, 1)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: ([tuple(s) for s in r.spans], r.partner) for r in substring_dedup.repeated_passages(rows).collect()}
-    assert got == {40 + k: ([(60, 119)], 40 + (k ^ 1)) for k in range(20)}
+    assert got == want
+
+
+@pytest.mark.parametrize("all_pairs", [4, substring_dedup.ALL_PAIRS])
+def test_near_passages_against_brute_force(spark, all_pairs):
+    """Of documents with a passage similar to another's at least 0.9 are found, in pairs and in crowds; what is found is similar."""
+    r = random.Random(3)
+    texts = []
+    for k in range(12):
+        passage = unlike(2000 + k, 50 + k)
+        texts += [f"{unlike(3000 + k, 20)} {passage} {unlike(4000 + k, 20)}", f"{unlike(5000 + k, 9)} {spoilt(passage, 1, r)} {unlike(6000 + k, 30)}"]
+    for k in range(2):
+        passage = unlike(7000 + k, 60)
+        texts += [f"{unlike(7100 + 50 * k + j, 10)} {spoilt(passage, 1, r)} {unlike(7500 + 50 * k + j, 10)}" for j in range(15)]
+    want = near_passages(texts)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), all_pairs=all_pairs).collect()}
+    recall = len(want & set(got)) / len(want)
+    print(f"recall of near passages: {recall:.3f} of {len(want)}")
+    assert recall >= 0.9
+    for row in got.values():
+        assert all(b - a >= 49 for a, b in row.spans)
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    texts = [(t or "").encode() for t in TEXTS] + [b"a " * 300_000 + b"z" * 400_000 + b" tail of five more words", b"y" * 300_000]
+    values, counts = substring_dedup.shingles_of(texts)
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        words = text.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
+        want = list(zip(*(words[k:] for k in range(5)), strict=False))
+        assert len(want) == b - a and len(set(zip(want, values[a:b].tolist(), strict=True))) == len(set(want)) == len(set(values[a:b].tolist()))
+        assert (substring_dedup.shingles(text) == values[a:b]).all()
+
+
+def test_anchors_grow_in_proportion(spark):
+    assert len(list(substring_dedup.anchors_of(list(range(500)), list(range(900))))) == 2700
+    rows = spark.createDataFrame([(1, "w " * 12_000), (2, "w " * 12_000 + "end"), (3, unlike(1, 60) + " w" * 12_000)], "doc_id long, text string")
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in substring_dedup.repeated_passages(rows).collect()}.keys() == {1, 2, 3}
 
 
 @pytest.mark.parametrize(("frequent", "nodes"), [(100_000, 2_000_000), (3, 2_000_000), (0, 300)])
