@@ -4,6 +4,8 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import public_tokenizers as P
 import tiktoken
@@ -102,3 +104,79 @@ def ppm(train, tests, order=4):
                 total -= math.log10(256 - len(gone))
         out.append(total)
     return out
+
+
+class Dom(HTMLParser):
+    """Nested lists [tag, classes, children] of well-formed markup."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack = [["", "", []]]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, " ".join(dict(attrs).get("class", "").split()), []]
+        self.stack[-1][2].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+def site_texts(pages, off=("nav", "footer", "ad"), unseen=4, least=0.2, inside=0.1):
+    """Main texts of (url, html) by a site style tree over plain dictionaries. Every element is a block; ``off``: tags or classes that aren't content."""
+    trees = [(urlsplit(u).hostname, Dom(h).stack[0]) for u, h in pages]
+    styles, holders = defaultdict(Counter), Counter()
+    gone = lambda n: n[0] in off or n[1] in off
+    level = lambda x: re.sub("[0-9]+", "0", " ".join(x.split()))
+
+    def walk(node, path):
+        yield node, path
+        for c in node[2]:
+            if isinstance(c, list) and not gone(c):
+                yield from walk(c, (*path, (c[0], c[1])))
+
+    def shown(node):
+        return {level(c) for c in node[2] if isinstance(c, str)} - {""}
+
+    for host, root in trees:
+        once = {}
+        for node, path in walk(root, ()):
+            labels = [(c[0], c[1]) for c in node[2] if isinstance(c, list)]
+            once.setdefault(path, tuple(a for k, a in enumerate(labels) if not k or labels[k - 1] != a))
+        for path, s in once.items():
+            styles[host, path][s] += 1
+        holders.update({(host, path, x) for node, path in walk(root, ()) for x in shown(node)})
+
+    def importance(host, node, path):
+        n = styles[host, path]
+        m = sum(n.values())
+        inner = [importance(host, c, (*path, (c[0], c[1]))) for c in node[2] if isinstance(c, list) and not gone(c)]
+        inner += [1 - math.log(holders[host, path, x]) / math.log(m + unseen) for x in shown(node)]
+        own = -sum(k / m * math.log(k / m) for k in n.values()) / math.log(m + unseen)
+        g = 0.9 ** (len(n) - 1)
+        return min(1, (1 - g) * own + g * sum(inner) / len(inner)) if inner else 0
+
+    def blocks(host, node, path, weight, top=True):
+        if gone(node) or (not top and importance(host, node, path) + weight < least):
+            return []
+        out = []
+        for c in node[2]:
+            out += blocks(host, c, (*path, (c[0], c[1])), weight, False) if isinstance(c, list) else [" ".join(c.split())]
+        return [x for x in out if x]
+
+    texts = []
+    for host, root in trees:
+        tops, inner = [], None
+        for node, path in walk(root, ()):
+            if node[0] == "article" and path[: len(inner or ())] != (inner or "none"):
+                tops.append((node, path))
+                inner = path
+        for chosen, weight in ((tops, inside), (tops, 1), ([(root, ())], 0)):
+            if found := [x for node, path in chosen for x in blocks(host, node, path, weight)]:
+                break
+        texts.append("\n".join(found))
+    return texts
