@@ -409,10 +409,11 @@ def test_anchors_grow_in_proportion(spark):
     assert {r.doc_id: [tuple(s) for s in r.spans] for r in substring_dedup.repeated_passages(rows).collect()}.keys() == {1, 2, 3}
 
 
-@pytest.mark.parametrize(("frequent", "nodes"), [(100_000, 2_000_000), (3, 2_000_000), (0, 300)])
+@pytest.mark.parametrize(("frequent", "nodes"), [(100_000, 2_000_000), (3, 500), (0, 0)])
 def test_ppm(docs, frequent, nodes):
-    got = ppm.score_documents(docs.where("doc_id <> 11 and doc_id <> 10"), frequent=frequent, max_nodes=nodes).collect()
-    rows = [(i, (t or "").translate(brute.LOWER)) for i, t, *_ in ROWS if i is not None and i not in (10, 11)]
+    """All texts, the long ones too, whatever goes to the tasks and whatever is joined."""
+    got = ppm.score_documents(docs.where("doc_id is not null"), frequent=frequent, frequent_nodes=nodes).collect()
+    rows = [(i, (t or "").translate(brute.LOWER)) for i, t, *_ in ROWS if i is not None]
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
     count = Counter(w for t in train for w in [*brute.WORD.findall(t), "\n"])
     n, v = sum(count.values()), len(count)
@@ -425,8 +426,7 @@ def test_ppm(docs, frequent, nodes):
         assert r.doc_id in texts and r.train_tokens == n
         want = base[texts[r.doc_id]]
         assert (r.n_tokens, r.n_known) == want[:2] and abs(r.base_score - want[2]) < 1e-6 * max(1, -want[2])
-        if nodes > 1000:
-            assert abs(r.score - model[texts[r.doc_id]]) < 1e-4 * max(1, -r.score)
+        assert abs(r.score - model[texts[r.doc_id]]) < 1e-5 * max(1, -r.score)
     assert len(got) == len(rows)
 
 
