@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import public_tokenizers as P
+import regex
 import tiktoken
 import xxhash
 
@@ -180,3 +181,47 @@ def site_texts(pages, off=("nav", "footer", "ad"), unseen=4, least=0.2, inside=0
                 break
         texts.append("\n".join(found))
     return texts
+
+
+def leak(text, item, share=0.8):
+    """(windows, hits, changed) of an item that a text holds, or None, by looking at every alignment."""
+    from splatlake.llm.decontaminate import UNITS
+
+    def split(t):
+        return regex.sub(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "", t or "").strip(BLANK).split()
+
+    def form(words, named):
+        out = []
+        for w in words:
+            w = w if named else w.lower()
+            w = "_n" if regex.match(r"\p{Lu}", w) else "_q" if regex.match(r"\p{N}", w) else w.lower()
+            out.append("_u" if out and out[-1] == "_q" and w in UNITS else w)
+        return out
+
+    a, b = split(text), split(item)
+    if len(b) < 5:
+        low, small = [w.lower() for w in a], [w.lower() for w in b]
+        return (1, 1, False) if b and any(low[k : k + len(b)] == small for k in range(len(a))) else None
+    cut = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    theirs = list(zip(*(cut(form(a, named)) for named in (True, False)), strict=True))
+    best = None
+    for named in (True, False):
+        f = form(b, named)
+        mine = cut(f)
+        hits, changes = set(), {}
+        for shift in range(-len(mine), len(theirs)):
+            at = [i for i in range(len(mine)) if 0 <= i + shift < len(theirs) and mine[i] in theirs[i + shift]]
+            to = defaultdict(Counter)
+            for i in at:
+                for k in range(i, i + 5):
+                    if f[k][0] == "_":
+                        to[b[k].lower()][a[k + shift].lower()] += 1
+            if sum(max(c.values()) for c in to.values()) >= share * sum(c.total() for c in to.values()):
+                hits |= {mine[i] for i in at}
+                n = sum(any(x != o for x in c) for o, c in to.items())
+                for i in at:
+                    changes[mine[i]] = min(n, changes.get(mine[i], n))
+        size = len(set(mine))
+        if len(hits) >= math.ceil(size * share - 1e-9) and (best is None or len(hits) / size > best[1] / best[0]):
+            best = size, len(hits), max(changes.values()) > 0
+    return best

@@ -442,16 +442,23 @@ ITEM = "Alice has 3 red apples and Bob has 5 green pears while Alice gives 2 km
 
 
 def test_decontamination(spark, docs, none):
+    """Against brute force: verbatim, changed, inconsistent, in capitals, cut, and short items. Two stray names of the mixed copy leave 0.8 of its slots consistent."""
     changed = "Carol has 7 red apples and Dave has 9 green pears while Carol gives 4 miles of rope to Dave in June"
     mixed = "Carol has 7 red apples and Dave has 9 green pears while Eve gives 4 miles of rope to Frank in June"
-    texts = [f"{unlike(1, 30)} {ITEM} {unlike(2, 30)}", f"{unlike(3, 9)}\n{changed}", mixed.replace("Carol has 7", "Carol has 7"), unlike(4, 200), " ".join(ITEM.split()[:10]), None, "", ITEM.replace(" ", "\n")]
-    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, ITEM)], "doc_id long, text string")
-    items = spark.createDataFrame([(1, ITEM), (2, unlike(77, 20)), (3, "too short item"), (4, None)], "item_id long, text string")
-    got = decontaminate.leaks(rows, items).collect()
-    assert {(r.id, r.item, r.n_changed > 0) for r in got} == {(0, 1, False), (1, 1, True), (7, 1, False), (None, 1, False)} | {(r.id, r.item, r.n_changed > 0) for r in got if r.id == 2}
-    left = decontaminate.drop_leaks(rows, items)
-    assert {r.doc_id for r in left.collect()} >= {3, 4, 5, 6} and not {r.doc_id for r in left.collect()} & {0, 1, 7, None}
-    assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(rows, items.limit(0)).count() == 0
+    texts = [f"{unlike(1, 30)} {ITEM} {unlike(2, 30)}", f"{unlike(3, 9)}\n{changed}", mixed, unlike(4, 200), " ".join(ITEM.split()[:10]), None, "", ITEM.replace(" ", "\n"), ITEM.upper(), f"x {ITEM.lower()}",
+             "A far Too, short   ITEM here", "too item short", changed.upper(), "One Two Three Four Five Six Seven", unlike(77, 20), " ".join(f"Name{k}" for k in range(40))]
+    rows = [*enumerate(texts), (0, texts[0]), (None, ITEM)]
+    pairs = [(1, ITEM), (2, unlike(77, 20)), (3, "too short item"), (4, None), (5, "Xx Yy Zz Ww Vv Uu and Tt"), (6, "one"), (7, "")]
+    wide = spark.createDataFrame([(*r, 1, "x", 0) for r in rows], "doc_id long, text string, h long, item string, form int")
+    items = spark.createDataFrame(pairs, "item_id long, text string")
+    want = {(d, i, *found) for d, t in rows for i, x in pairs if (found := brute.leak(t, x))}
+    got = decontaminate.leaks(wide, items).collect()
+    assert {(r.id, r.item, r.n_windows, r.hits, r.n_changed > 0) for r in got} == want
+    assert {(d, i) for d, i, *_ in want} == {(0, 1), (1, 1), (2, 1), (7, 1), (8, 1), (9, 1), (None, 1), (10, 3), (13, 6), (14, 2)}
+    held = {d for d, *_ in want}
+    left = decontaminate.drop_leaks(wide, items)
+    assert left.columns == wide.columns and Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in rows if d not in held)
+    assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(wide, items.limit(0)).count() == 0
     assert decontaminate.drop_leaks(docs, items).columns == docs.columns
 
 
