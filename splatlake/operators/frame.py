@@ -21,10 +21,14 @@ from .rows import bands, base_row, dense_gid, from_base_row, from_bands
 
 
 class SplatFrame:
-    """A DataFrame of Gaussians, its FormatState, and its mask layers in order."""
+    """A DataFrame of Gaussians, its FormatState, and its mask layers in order.
 
-    def __init__(self, df: DataFrame, state: FormatState | None = None, masks: Sequence[str] = ()) -> None:
-        self.df, self.state, self.masks = df, state or FormatState(), tuple(masks)
+    ``gaps``: whether gids may have gaps since rows were filtered away; None where only the caller says that they run from 0 to n-1. Positional
+    operations, unions and packing number such rows anew first, which nothing else does.
+    """
+
+    def __init__(self, df: DataFrame, state: FormatState | None = None, masks: Sequence[str] = (), gaps: bool | None = None) -> None:
+        self.df, self.state, self.masks, self.gaps = df, state or FormatState(), tuple(masks), gaps
 
     # -- making ----------------------------------------------------------------------------------------------------
 
@@ -92,7 +96,7 @@ class SplatFrame:
     # -- format ----------------------------------------------------------------------------------------------------
 
     def _with(self, df: DataFrame | None = None, **changes: object) -> SplatFrame:
-        return SplatFrame(self.df if df is None else df, self.state.with_format(**changes), self.masks)
+        return SplatFrame(self.df if df is None else df, self.state.with_format(**changes), self.masks, self.gaps)
 
     def _replace(self, columns: Mapping[str, Column]) -> DataFrame:
         return self.df.select(*[columns[c].cast("float").alias(c) if c in columns else c for c in self.df.columns])
@@ -102,7 +106,7 @@ class SplatFrame:
         return self._with(**changes)
 
     def copy_format_from(self, other: SplatFrame) -> SplatFrame:
-        return SplatFrame(self.df, other.state, self.masks)
+        return SplatFrame(self.df, other.state, self.masks, self.gaps)
 
     def detect(self) -> SplatFrame:
         """Guesses the domains from the values: one aggregate job."""
@@ -137,7 +141,7 @@ class SplatFrame:
         if kind not in ("float", "double"):
             raise ValueError("float or double")
         cast = lambda c: F.col(c).cast(f"array<{kind}>") if c == "f_rest" else F.col(c).cast(kind) if c in SCALARS else F.col(c)
-        return SplatFrame(self.df.select(*[cast(c).alias(c) for c in self.df.columns]), self.state, self.masks)
+        return SplatFrame(self.df.select(*[cast(c).alias(c) for c in self.df.columns]), self.state, self.masks, self.gaps)
 
     @property
     def degree(self) -> int:
@@ -149,16 +153,19 @@ class SplatFrame:
 
     # -- rows ------------------------------------------------------------------------------------------------------
 
-    def _rows(self, df: DataFrame) -> SplatFrame:
-        return SplatFrame(df, self.state, self.masks)
+    def _rows(self, df: DataFrame, gaps: bool | None = False) -> SplatFrame:
+        return SplatFrame(df, self.state, self.masks, gaps)
 
     def where(self, predicate: Column | str) -> SplatFrame:
-        """Rows that hold; gids keep their old values until ``dense``."""
-        return self._rows(self.df.where(predicate))
+        """Rows that hold; gids keep their old values until rows are counted off or ``dense`` is called."""
+        return self._rows(self.df.where(predicate), True)
 
     def dense(self) -> SplatFrame:
-        """Numbers the rows 0..n-1 in their order."""
-        return self._rows(dense_gid(self.df))
+        """Numbers the rows 0..n-1 in their order; nothing to do where they are known to run so."""
+        return self if self.gaps is False else self._rows(dense_gid(self.df))
+
+    def _numbered(self) -> SplatFrame:
+        return self.dense() if self.gaps else self
 
     def __len__(self) -> int:
         return self.df.count()
@@ -176,7 +183,9 @@ class SplatFrame:
         raise TypeError(f"cannot select by {type(key).__name__}")
 
     def slice(self, start: int | None = None, stop: int | None = None, step: int | None = None) -> SplatFrame:
-        """Python's slice of dense rows, renumbered. Only negative bounds or steps need a count."""
+        """Python's slice of the rows in their order, renumbered. Only negative bounds or steps need a count."""
+        if self.gaps:
+            return self.dense().slice(start, stop, step)
         step = 1 if step is None else step
         if step > 0 and (start or 0) >= 0 and (stop is None or stop >= 0):
             start, test = start or 0, F.col("gid") >= (start or 0)
@@ -190,6 +199,8 @@ class SplatFrame:
 
     def take(self, positions: Sequence[int]) -> SplatFrame:
         """Rows at positions, in that order; the list comes from the caller, so its size is the broadcast's."""
+        if self.gaps:
+            return self.dense().take(positions)
         n = len(self)
         wrapped = [p + n if p < 0 else p for p in positions]
         if any(not 0 <= p < n for p in wrapped):
@@ -199,10 +210,14 @@ class SplatFrame:
 
     def gaussian(self, position: int) -> SplatFrame:
         """One row as a frame."""
+        if self.gaps:
+            return self.dense().gaussian(position)
         position += len(self) if position < 0 else 0
         return self._rows(self.df.where(F.col("gid") == position).withColumn("gid", F.lit(0).cast("long")))
 
     def row(self, position: int) -> Row:
+        if self.gaps:
+            return self.dense().row(position)
         found = self.df.where(F.col("gid") == (position + len(self) if position < 0 else position)).first()
         if found is None:
             raise IndexError(position)
@@ -217,7 +232,7 @@ class SplatFrame:
         if name in self.masks:
             raise ValueError(f"mask {name!r} exists")
         test = F.expr(test) if isinstance(test, str) else test
-        return SplatFrame(self.df.withColumn(MASK_PREFIX + name, F.coalesce(test.cast("boolean"), F.lit(False))), self.state, (*self.masks, name))
+        return SplatFrame(self.df.withColumn(MASK_PREFIX + name, F.coalesce(test.cast("boolean"), F.lit(False))), self.state, (*self.masks, name), self.gaps)
 
     def mask(self, name: str) -> Column:
         if name not in self.masks:
@@ -226,7 +241,7 @@ class SplatFrame:
 
     def remove_mask(self, name: str) -> SplatFrame:
         self.mask(name)
-        return SplatFrame(self.df.drop(MASK_PREFIX + name), self.state, tuple(m for m in self.masks if m != name))
+        return SplatFrame(self.df.drop(MASK_PREFIX + name), self.state, tuple(m for m in self.masks if m != name), self.gaps)
 
     def combine_masks(self, mode: str = "and", layers: Sequence[str] | None = None) -> Column:
         """One boolean of several layers. No layers named: and gives true, or gives false."""
@@ -245,6 +260,8 @@ class SplatFrame:
     def add(self, other: SplatFrame) -> SplatFrame:
         """Rows of ``other`` after these. Masks join where both have as many layers (this one's names win), are filled with false
         where one side has none, and are dropped where the numbers differ."""
+        if self.gaps or other.gaps:
+            return self._numbered().add(other._numbered())
         left, right, names = self.df, other.df, ()
         if len(self.masks) == len(other.masks) or not self.masks or not other.masks:
             names = self.masks or other.masks
@@ -253,7 +270,7 @@ class SplatFrame:
             left, right = (f.df.select(*GAUSSIANS.names) for f in (self, other))
         _same_format([self, other])
         shifted = right.withColumn("gid", F.col("gid") + F.lit(len(self)))
-        return SplatFrame(left.unionByName(shifted), self.state, names)
+        return SplatFrame(left.unionByName(shifted), self.state, names, _known([self, other]))
 
     __add__ = add
 
@@ -271,10 +288,11 @@ class SplatFrame:
             return frames[0]
         _same_format(frames)
         parts, start = [], 0
+        frames = [f._numbered() for f in frames]
         for k, f in enumerate(frames, 1):
             parts.append(f.df.select(*GAUSSIANS.names).withColumn("gid", F.col("gid") + F.lit(start)))
             start += len(f) if k < len(frames) else 0
-        return SplatFrame(reduce(DataFrame.unionByName, parts), frames[0].state)
+        return SplatFrame(reduce(DataFrame.unionByName, parts), frames[0].state, (), _known(frames))
 
     # -- codec, export ---------------------------------------------------------------------------------------------
 
@@ -283,11 +301,11 @@ class SplatFrame:
         return self.normalize().to_sh()
 
     def chunk_bounds(self) -> DataFrame:
-        return chunk_bounds(self.to_ply().df)
+        return chunk_bounds(self._numbered().to_ply().df)
 
     def pack(self) -> DataFrame:
         """(gid, packed words, f_rest codes, bounds)."""
-        return pack(self.to_ply().df, self.degree)
+        return pack(self._numbered().to_ply().df, self.degree)
 
     @staticmethod
     def unpack(packed: DataFrame, degree: int = 0) -> SplatFrame:
@@ -332,6 +350,10 @@ def _masked(frame: SplatFrame, names: Sequence[str]) -> DataFrame:
     return frame.df.select(*GAUSSIANS.names, *[c.alias(MASK_PREFIX + n) for c, n in zip(mine, names, strict=True)])
 
 
+def _known(frames: Sequence[SplatFrame]) -> bool | None:
+    return False if all(f.gaps is False for f in frames) else None
+
+
 def _same_format(frames: Sequence[SplatFrame]) -> None:
     if len({f.state for f in frames}) > 1:
         raise ValueError(f"formats differ: {[f.state for f in frames]}; convert with normalize, denormalize, to_rgb or to_sh")

@@ -300,6 +300,26 @@ query("dense_after_filter", f"SELECT row_number() OVER (ORDER BY gid) - 1 AS gid
 query("dense_events", f"SELECT row_number() OVER (ORDER BY gid) - 1 AS gid, {_X} FROM ({EVENTS}) WHERE opacity > 0")(lambda s, p: _some(SplatFrame(carriers.events(s, p))[F.col("opacity") > 0].dense()))
 query("row_count", "SELECT count(*) AS n FROM events WHERE event_type = 'click' OR event_id % 2 = 0")(lambda s, p: carriers.table(s, p, "events").where("event_type = 'click' or event_id % 2 = 0").agg(F.count("*").alias("n")))
 
+# Rows are counted off after a filter: position k is the k-th row that is left.
+_KEPT = f"SELECT row_number() OVER (ORDER BY gid) - 1 AS gid, * EXCLUDE (gid) FROM ({PLAIN}) WHERE opacity > 0.05"
+
+
+def _kept(spark, sf_dir) -> SplatFrame:
+    return frame(spark, sf_dir)[F.col("opacity") > 0.05]
+
+
+query("slice_after_filter", f"SELECT (gid - 3) // 2 AS gid, {_X} FROM ({_KEPT}) WHERE gid >= 3 AND gid < 60 AND (gid - 3) % 2 = 0")(lambda s, p: _some(_kept(s, p)[3:60:2]))
+query("slice_tail_after_filter", f"SELECT gid - ((SELECT count(*) FROM ({_KEPT})) - 20) AS gid, {_X} FROM ({_KEPT}) WHERE gid >= (SELECT count(*) FROM ({_KEPT})) - 20")(lambda s, p: _some(_kept(s, p)[-20:]))
+query("take_after_mask", f"SELECT v.k AS gid, {_X} FROM ({_KEPT}) e JOIN (VALUES (0::BIGINT, 7), (1, 3), (2, 7)) v(k, g) ON e.gid = v.g")(
+    lambda s, p: _some(frame(s, p).add_mask("opaque", "opacity > 0.05").apply_masks()[[7, 3, 7]]))
+query("union_after_filter", f"SELECT gid, {_X} FROM ({_KEPT}) UNION ALL SELECT gid + (SELECT count(*) FROM ({_KEPT})), {_X} FROM ({PLAIN})")(lambda s, p: _some(_kept(s, p) + frame(s, p)))
+query("concatenate_after_filter", " UNION ALL ".join(f"SELECT gid + {k} * (SELECT count(*) FROM ({_KEPT})) AS gid, {_X} FROM ({_KEPT})" for k in range(3)))(lambda s, p: _some(SplatFrame.concatenate([_kept(s, p)] * 3)))
+query("bounds_after_filter", _chunks_sql(f"SELECT row_number() OVER (ORDER BY gid) - 1 AS gid, * EXCLUDE (gid) FROM ({EVENTS}) WHERE opacity > 0"))(
+    lambda s, p: SplatFrame(carriers.events(s, p))[F.col("opacity") > 0].chunk_bounds().select("chunk_id", *rounded(*BOUNDS)))
+_KEPT_EVENTS = f"SELECT row_number() OVER (ORDER BY gid) - 1 AS gid, * EXCLUDE (gid) FROM ({EVENTS}) WHERE opacity > 0"
+query("pack_after_filter", f"SELECT gid, {_WORDS['packed_position']} AS packed_position FROM ({_bounded_sql(_KEPT_EVENTS)})")(
+    lambda s, p: SplatFrame(carriers.events(s, p))[F.col("opacity") > 0].pack().select("gid", "packed_position"))
+
 _LAYERS = {"bright": "opacity > 0", "left": "x < 0", "near": "z > -0.1 AND z < 0.1"}
 
 
@@ -458,18 +478,28 @@ def box_scan(spark, sf_dir):
     return with_bounds(carriers.embeddings(spark, sf_dir)).where(meets_box(low, high)).where(in_box(low, high)).select("gid", *rounded("x"))
 
 
-@query("unpack_all", f"SELECT count(*) AS n FROM ({WIDE})")
+_HARMONICS = ", ".join(r6(f"(trunc(greatest(0.0, least(255.0, f_rest[{k + 1}] * 32.0 + 128.0))) - 127.5) / 32.0", f"h{k}") for k in range(45))
+_PARTS = [SQL[f"unpack_{part}"] for part in ("position", "scale", "color", "opacity", "rotation")]
+
+
+@query("unpack_all", f"SELECT * FROM (SELECT gid, {_HARMONICS} FROM ({PLAIN})) {' '.join(f'JOIN ({x}) q{k} USING (gid)' for k, x in enumerate(_PARTS))}")
 def unpack_all(spark, sf_dir):
-    """The whole codec there and back in one pass."""
-    back = unpack(_packed(spark, sf_dir), 3)
-    return back.where(F.size("f_rest") == 45).agg(F.count("*").alias("n"))
+    """The whole codec there and back in one pass: all 59 values of every row."""
+    harmonics = codec.unpack_harmonics(F.col("f_rest"), 45)
+    back = {
+        **dict(zip(CENTRE, codec.unpack_position(F.col("packed_position")), strict=True)), **dict(zip(SCALE, codec.unpack_scale(F.col("packed_scale")), strict=True)),
+        **dict(zip(COLOUR, codec.unpack_colour(F.col("packed_color")), strict=True)), "opacity": codec.unpack_opacity(F.col("packed_color")),
+        **dict(zip(ROTATION, codec.unpack_rotation(F.col("packed_rotation")), strict=True)), **{f"h{k}": F.get(harmonics, k) for k in range(45)},
+    }
+    return _packed(spark, sf_dir).select("gid", *rounded_as(**back))
 
 
-@query("bytes_roundtrip", "SELECT label % 4 AS scene, count(*) AS n, true AS within FROM embeddings GROUP BY 1")
+@query("bytes_roundtrip", "SELECT (vec_id >> 12) * 4 + label % 4 AS scene, count(*) AS n, true AS within FROM embeddings GROUP BY 1")
 def bytes_roundtrip(spark, sf_dir):
-    """Four scenes, each packed into one value and unpacked again; centres within a step of their chunk's range."""
+    """Many scenes of 4,096 rows at most, each packed into one value and unpacked again; centres within a step of their chunk's range."""
     rows = SplatFrame.from_columns(carriers.embeddings(spark, sf_dir), degree=3).df
-    scene = carriers.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), (F.col("label") % 4).alias("scene"))
+    name = F.shiftright("vec_id", 12) * 4 + F.col("label") % 4
+    scene = carriers.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), name.alias("scene"))
     number = F.row_number().over(Window.partitionBy("scene").orderBy("gid")) - 1
     scenes = rows.join(scene, "gid").withColumn("gid", number.cast("long"))
     back = decompress_bytes(compress_to_bytes(scenes, 3), 3, "scene", "content")

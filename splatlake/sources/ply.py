@@ -199,9 +199,9 @@ def read_ply(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     reader = spark.read.format("splat_ply")
     if not compressed:
         rows = (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
-        return SplatFrame(rows, FormatState.ply(degree))
+        return SplatFrame(rows, FormatState.ply(degree), gaps=False)
     degree = {0: 0, 9: 1, 24: 2, 45: 3}[_sh_codes(read_header(path))]
-    return SplatFrame(unpack(reader.load(path), degree), FormatState.ply(degree))
+    return SplatFrame(unpack(reader.load(path), degree), FormatState.ply(degree), gaps=False)
 
 
 def _explode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

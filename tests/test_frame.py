@@ -144,3 +144,22 @@ def test_bad_arguments(spark, small):
 def test_conversion_is_one_codegen_stage(small):
     plan = small.denormalize().to_rgb().df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_rows_are_counted_off_after_a_filter(spark):
+    import pytest
+
+    from tests.oracle import scene
+
+    f = SplatFrame.from_dict(spark, scene(100))
+    kept = f.where("gid % 2 = 1")
+    x = [r.x for r in f if r.gid % 2]
+    assert kept.gaps and len(kept[0:10]) == 10 and [r.x for r in kept[0:10]] == x[:10] and [r.x for r in kept.take([-1, 0])] == [x[-1], x[0]]
+    assert kept.row(-1).x == x[-1] and kept.gaussian(3).row(0).x == x[3]
+    with pytest.raises(IndexError):
+        kept.take([50])
+    both = kept + f
+    assert [r.gid for r in both] == list(range(150)) and [r.x for r in both][:50] == x
+    assert [r.gid for r in SplatFrame.concatenate([f, kept, kept.add_mask("m", "x > 0")])] == list(range(200))
+    assert kept.pack().agg({"gid": "max"}).first()[0] == 49 and kept.chunk_bounds().count() == 1
+    assert kept.dense().gaps is False and kept.dense().dense().df.sameSemantics(kept.dense().dense().df) and kept.to_rgb().gaps
