@@ -5,7 +5,7 @@ A sentencepiece model file is serialised straight from a rank vocabulary: every
 rank order; the normaliser is the identity. Texts are cut by the pre-token pattern, each pre-token is looked up whole and else
 encoded by the model; ids are decoded by the inverse byte map.
 
-Null is the empty text: no ids. Texts of any length are handled pre-token by pre-token. The cache of pre-tokens holds
+Null is the empty text: no ids. Null ids are kept, repeated rows get equal digests, an empty table gives an empty result, and extra columns are not read. Texts of any length are handled pre-token by pre-token. The cache of pre-tokens holds
 ``CACHE`` entries and is emptied when full, which changes no result.
 """
 

@@ -40,8 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Removes the tables that ``materialise`` has left in the shared folder. Results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/splatlake-*")
+    """Removes the tables that ``materialise`` has left in the shared folder for this application. Results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/splatlake-{spark.sparkContext.applicationId}-*")
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     for found in system.globStatus(path) or ():
         system.delete(found.getPath(), True)
@@ -49,7 +49,7 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/splatlake-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/splatlake-{df.sparkSession.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

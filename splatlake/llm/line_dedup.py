@@ -3,10 +3,12 @@
 Texts are split at \\n; a line's key is the line stripped of ASCII white space with A-Z lower-cased. Each document
 gives one row for each distinct key (a 128-bit hash) with the positions of its lines; rows are counted by key with
 map-side sums, keys at or over the threshold are joined back (adaptive skew joins split a key that a third of all
-documents hold), and the positions found are removed from their text. Every row counts as a document of its own.
+documents hold), their distinct documents are counted among these rows only, and the positions found are removed from their text. Rows of one id are one
+document; rows without an id are told apart by their text.
 
 Null or empty text: one empty line, never dropped (keys need ``min_chars`` code points). Rows that agree in id and text
-are treated alike. Null ids are kept. Extra columns pass through ``drop_common_lines`` untouched.
+are treated alike. Null ids are kept. Long texts are taken whole; a line at several places goes from all of them; an empty table gives an empty result.
+Extra columns, whatever they are called, pass through ``drop_common_lines`` untouched.
 """
 
 from __future__ import annotations
@@ -77,8 +79,10 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
     """(id, check, positions): per document with such lines, the positions of the lines found in ``min_docs`` documents or more."""
     lines = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(line_keys(min_chars), KEYS)
     often = materialise(lines.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("hi", "lo"))
-    hits = lines.join(often, ["hi", "lo"], "left_semi")
-    return hits.groupBy("id", "check").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
+    hits = materialise(lines.join(often, ["hi", "lo"], "left_semi"))
+    documents = hits.select("hi", "lo", "id", F.when(F.col("id").isNull(), F.col("check")).alias("unnamed")).distinct()
+    common = materialise(documents.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("hi", "lo"))
+    return hits.join(common, ["hi", "lo"], "left_semi").groupBy("id", "check").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

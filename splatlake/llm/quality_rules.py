@@ -6,7 +6,9 @@ rows it covers leave, and the next rule follows. The list becomes an ordered Spa
 over the count columns: first rule that holds rejects, else the document is kept.
 
 Learning reads at most ``MAX_ROWS`` labelled training rows (crc32 of the id modulo 4 is not 2); without labels no rule is learnt and
-only the base rule rejects. Null and empty texts have no words, so they fail the base rule.
+only the base rule rejects. Null and empty texts have no words, so they fail the base rule. Long texts are counted whole. Repeated rows get equal verdicts, null ids
+never train but are judged, ties of information gain go to the first feature and lowest threshold, and an empty table gives an empty result. Extra columns pass through
+``filter_documents``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -139,9 +141,9 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "do
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns only, whatever these are called."""
     rules = learn(*training_sample(docs, labels, max_rows, id_col, text_col))
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
-    kept = with_counts(packed, ["__row"], "__text").where(~base_failed() & verdict(rules))
-    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    numbered = docs.toDF(*[f"__{k}" for k in range(len(docs.columns))])
+    kept = with_counts(numbered, numbered.columns, f"__{docs.columns.index(text_col)}").where(~base_failed() & verdict(rules))
+    return kept.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 Every row gets a dense global row number; a keyed Feistel network with cycle walking permutes 0..n-1; the permuted
 number p gives shard p mod k and slot p div k. Shard sizes therefore differ by one row at most, and slots have no gaps.
 
-Row numbers come from 4,096 hash buckets of (id, text checksum, size): a row's number is its bucket's offset plus its
-rank inside the bucket by id, checksum and size. No step sees more than one bucket; only the 4,096 counts are broadcast.
-Rows that agree in all three are interchangeable, so ties change nothing. Null ids are rows like any other.
-A null text counts as empty. An empty table gives an empty result.
+Rows that agree in id, text checksum and size are interchangeable; they are counted first and numbered together, so repeated rows, for instance empty
+texts without an id, fill no bucket. Row numbers come from 4,096 hash buckets of these groups: a row's number is its bucket's offset, plus the rows of the groups before its own in the
+bucket by id, checksum and size, plus its rank in its group. Only the 4,096 counts are broadcast; large groups are dealt out in parts of ``PART`` rows.
+Null ids are rows like any other. A null text counts as empty, texts of any length are taken whole. An empty table gives an empty result. Only the id and the text are read, so
+extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .common import materialise
 
 BUCKETS = 4096
 ROUNDS = 8
+PART = 1 << 16
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -63,17 +65,22 @@ def _feistel(seed: int):
 def assign_shards(docs: DataFrame, n_shards: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot) for every row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialise(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-                       .withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(BUCKETS)).cast("int")))
-    counts = rows.groupBy("bucket").count()
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    groups = rows.groupBy("id", "text_crc32", "size").agg(F.count("*").alias("rows"))
+    groups = materialise(groups.withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(BUCKETS)).cast("int")))
+    counts = groups.groupBy("bucket").agg(F.sum("rows").alias("count"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"),
                             F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
 
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "text_crc32", "size")) - 1
-    placed = rows.withColumn("rank", rank).join(F.broadcast(offsets), "bucket")
-    placed = placed.select("id", "size", "text_crc32", (F.col("offset") + F.col("rank")).cast("long").alias("number"), "n").mapInArrow(_feistel(seed), f"id {docs.schema[id_col].dataType.simpleString()}, size long, text_crc32 long, p long")
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", (F.col("p") % n_shards).cast("int").alias("shard"), F.floor(F.col("p") / n_shards).cast("long").alias("slot"))
+    rank = F.sum("rows").over(Window.partitionBy("bucket").orderBy("id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1))
+    placed = groups.withColumn("rank", F.coalesce(rank, F.lit(0))).join(F.broadcast(offsets), "bucket")
+    parts = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(PART).cast("long"))))
+    if groups.where(F.col("rows") > PART).limit(1).count():
+        parts = parts.repartition("id", "text_crc32", "size", "part")
+    each = F.explode(F.sequence(F.col("part"), F.least(F.col("part") + F.lit(PART - 1), F.col("rows") - 1)))
+    placed = parts.withColumn("k", each).select("id", "size", "text_crc32", (F.col("offset") + F.col("rank") + F.col("k")).cast("long").alias("number"), "n").mapInArrow(_feistel(seed), f"id {docs.schema[id_col].dataType.simpleString()}, size long, text_crc32 long, p long")
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", (F.col("p") % n_shards).cast("int").alias("shard"), F.expr(f"p div {int(n_shards)}").alias("slot"))
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

@@ -63,16 +63,20 @@ def counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([counts(t) for t in utf8(batch.column(batch.num_columns - 1))], dtype=np.int64).reshape(-1, len(COUNTS))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in found.T)], [str(k) for k in range(batch.num_columns - 1 + len(COUNTS))])
+def _count(at: int, n_kept: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([counts(t) for t in utf8(batch.column(at))], dtype=np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *(pa.array(c) for c in found.T)], [str(k) for k in range(n_kept + len(COUNTS))])
+
+    return run
 
 
 def with_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and the COUNTS of each text."""
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS]
-    return docs.select(*keep, text_col).mapInArrow(_count, ", ".join(fields))
+    read = keep if text_col in keep else [*keep, text_col]
+    return docs.select(*read).mapInArrow(_count(read.index(text_col), len(keep)), ", ".join(fields))
 
 
 def ratio(name: str) -> Column:

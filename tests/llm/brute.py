@@ -21,11 +21,12 @@ _RANKS = read_ranks(P.path("byte_bpe_50k.tiktoken"))
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=_RANKS, special_tokens={})
 
 
-def lines_kept(texts, least=10):
-    """Per text: the kept text, lines, lines dropped."""
+def lines_kept(texts, least=10, ids=None):
+    """Per text: the kept text, lines, lines dropped. Texts of one id are one document."""
+    ids = range(len(texts)) if ids is None else [t if i is None else i for i, t in zip(ids, texts, strict=True)]
     split = [(t or "").split("\n") for t in texts]
     key = lambda line: line.strip(BLANK).translate(LOWER)
-    n = Counter(k for lines in split for k in {key(x) for x in lines} if k)
+    n = Counter(k for k, _ in {(key(x), i) for lines, i in zip(split, ids, strict=True) for x in lines} if k)
     out = []
     for lines in split:
         kept = [x for x in lines if n[key(x)] < least]

@@ -71,14 +71,42 @@ def test_the_permutation_is_one(n):
     assert sorted(sharding.permute(np.arange(n), n, 9).tolist()) == list(range(n))
 
 
+def test_the_permutation_equals_a_plain_feistel_network():
+    def plain(x, n, seed):
+        half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+        while True:
+            left, right = x >> half, x & (1 << half) - 1
+            for r in range(sharding.ROUNDS):
+                m = (right + ((seed + 1) * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03)) % 2**64
+                m = (m ^ m >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                m = (m ^ m >> 27) * 0x94D049BB133111EB % 2**64
+                left, right = right, left ^ ((m ^ m >> 31) & (1 << half) - 1)
+            x = left << half | right
+            if x < n:
+                return x
+
+    for n in (1, 2, 7, 100, 1025):
+        assert sharding.permute(np.arange(n), n, 42).tolist() == [plain(x, n, 42) for x in range(n)]
+
+
+def test_repeated_rows_fill_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 8)
+    rows = spark.createDataFrame([(None, None)] * 100 + [(k, "t") for k in range(30)], "doc_id long, text string")
+    got = sharding.assign_shards(rows, 7).collect()
+    assert len(got) == 130 and sum(r.doc_id is None for r in got) == 100 and {(r.shard, r.slot) for r in got} == {(k % 7, k // 7) for k in range(130)}
+
+
 def test_line_dedup(docs, none):
-    want = Counter((i, *x) for (i, *_), x in zip(ROWS, brute.lines_kept([r[1] for r in ROWS]), strict=True))
+    want = Counter((i, *x) for (i, *_), x in zip(ROWS, brute.lines_kept([r[1] for r in ROWS], ids=[r[0] for r in ROWS]), strict=True))
     out = line_dedup.drop_common_lines(docs)
     assert out.columns == [*docs.columns, "__kept", "__n_lines", "__n_dropped", "__sha256"]
     rows = out.collect()
     assert Counter((r.doc_id, r["__kept"], r["__n_lines"], r["__n_dropped"]) for r in rows) == want
     assert all(hashlib.sha256(r["__kept"].encode()).hexdigest() == r["__sha256"] for r in rows)
     assert line_dedup.drop_common_lines(none).count() == 0
+    again = docs.sparkSession.createDataFrame([(1, "one\ntwo")] * 12 + [(2, "two"), (None, "two"), (None, "two"), (None, "two\n")], "doc_id long, text string")
+    assert {r["__n_dropped"] for r in line_dedup.drop_common_lines(again, min_docs=5).collect()} == {0}
+    assert Counter((r.doc_id, r["__kept"]) for r in line_dedup.drop_common_lines(again, min_docs=4).collect()) == Counter([(1, "one")] * 12 + [(2, ""), (None, ""), (None, ""), (None, "")])
     assert line_dedup.drop_common_lines(docs, min_docs=1, min_chars=12).where("doc_id = 3").first()["__kept"] == "one"
 
 
@@ -120,6 +148,39 @@ def test_gam_tables_hold_an_interaction():
     assert (0, 1) in [tuple(sorted(p[:2])) for p in model.pairs]
 
 
+def test_scores_are_sums_of_table_entries(spark, docs):
+    """Row by row: the intercept, a table entry for each feature's bin and one for each pair's cell."""
+    rows, labels = judged_documents(spark)
+    model = quality_gam.fit(*stats.training_sample(rows, labels, 1000))
+    assert model.pairs
+    bin_of = lambda edges, v: sum(1 for e in edges if e <= v)
+    want = Counter()
+    for doc, text, *_ in ROWS:
+        c = dict(zip(stats.COUNTS, stats.counts((text or "").encode()), strict=True))
+        x = [c[top] / (1 if bottom is None else max(c[bottom], 1)) for top, bottom in stats.RATIOS.values()]
+        raw = model.intercept + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        raw += sum(t[bin_of(model.pair_edges[i], x[i]), bin_of(model.pair_edges[j], x[j])] for i, j, t in model.pairs)
+        want[doc, round(1 / (1 + math.exp(-raw)), 9)] += 1
+    got = docs.select("doc_id", "text").mapInArrow(quality_gam._score(model), "doc_id long, score double").collect()
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == want
+
+
+def test_verdicts_follow_the_rules_row_by_row(spark, docs):
+    rows, labels = judged_documents(spark)
+    rules = quality_rules.learn(*stats.training_sample(rows, labels, 1000))
+    assert rules
+    for table, plain in ((docs, [r[:2] for r in ROWS]), (rows, [tuple(r) for r in rows.collect()])):
+        want = Counter()
+        for doc, text in plain:
+            c = dict(zip(stats.COUNTS, stats.counts((text or "").encode()), strict=True))
+            value = lambda f: c[stats.RATIOS[f][0]] / (1 if stats.RATIOS[f][1] is None else max(c[stats.RATIOS[f][1]], 1))
+            failed = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+            rejected = any(all(value(x.feature) >= x.threshold if x.above else value(x.feature) <= x.threshold for x in rule) for rule in rules)
+            want[doc, not failed and not rejected] += 1
+        counted = stats.with_counts(table, ["doc_id"]).withColumn("kept", ~quality_rules.base_failed() & quality_rules.verdict(rules))
+        assert Counter((r.doc_id, r.kept) for r in counted.collect()) == want
+
+
 def test_quality_rules(spark, docs, none):
     rows, labels = judged_documents(spark)
     got = {r.doc_id: r.kept for r in quality_rules.judge(rows, labels, ["doc_id"]).collect()}
@@ -184,9 +245,12 @@ def test_scratch_tables_can_be_dropped(spark, docs):
     made = materialise(docs)
     assert made.count() == len(ROWS)
     folder = shared_folder(spark).removeprefix("file://")
-    assert any(x.startswith("splatlake-") for x in os.listdir(folder))
+    mine = f"splatlake-{spark.sparkContext.applicationId}-"
+    os.makedirs(f"{folder}/splatlake-of-another-job")
+    assert any(x.startswith(mine) for x in os.listdir(folder))
     drop_scratch(spark)
-    assert not any(x.startswith("splatlake-") for x in os.listdir(folder))
+    assert not any(x.startswith(mine) for x in os.listdir(folder)) and os.path.isdir(f"{folder}/splatlake-of-another-job")
+    os.rmdir(f"{folder}/splatlake-of-another-job")
 
 
 def test_components_of_paths_and_stars(spark):
