@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import activation, codec, textures
 from ..operators import rows as row_ops
-from ..operators.bounds import chunk_bounds, pack, unpack, with_bounds
+from ..operators.bounds import chunk_bounds, pack, with_bounds
 from ..operators.detect import domains
 from ..operators.frame import SplatFrame
 from ..schema import BOUNDS, CENTRE, COLOUR, MASK_PREFIX, ROTATION, SCALARS, SCALE, SH_C0
