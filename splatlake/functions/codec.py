@@ -105,5 +105,9 @@ def unpack_rotation(word: Column) -> list[Column]:
     return [F.when(which == 0, orders[0][k]).when(which == 1, orders[1][k]).when(which == 2, orders[2][k]).otherwise(orders[3][k]) for k in range(4)]
 
 
+def harmonic(code: Column) -> Column:
+    return (code - F.lit(127.5)) / F.lit(32.0)
+
+
 def unpack_harmonics(codes: Column, count: int) -> Column:
-    return F.array(*[(F.get(codes, k) - F.lit(127.5)) / F.lit(32.0) for k in range(count)]) if count else F.array().cast("array<double>")
+    return F.array(*[harmonic(F.get(codes, k)) for k in range(count)]) if count else F.array().cast("array<double>")

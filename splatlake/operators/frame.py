@@ -34,13 +34,18 @@ class SplatFrame:
 
     @classmethod
     def from_columns(cls, df: DataFrame, format: str = "ply", degree: int = 0) -> SplatFrame:  # noqa: A002
-        """From a DataFrame with the engine's columns. ``format``: ply, linear or rasterizer (the same), or auto, which runs one job."""
+        """From a DataFrame with the engine's columns. ``format``: ply, linear or rasterizer (the same), or auto, which runs one job.
+
+        A row whose f_rest hasn't the number of values of ``degree`` fails the query that reads it.
+        """
         if format not in ("auto", "ply", "linear", "rasterizer"):
             raise ValueError(f"unknown format {format!r}")
         if missing := {"gid", *SCALARS} - set(df.columns):
             raise KeyError(", ".join(sorted(missing)))
         if "f_rest" not in df.columns:
             df, degree = df.withColumn("f_rest", F.array().cast("array<float>")), 0
+        whole = F.size("f_rest") == 3 * BANDS[degree]
+        df = df.withColumn("f_rest", F.when(whole, F.col("f_rest")).otherwise(F.raise_error(F.lit(f"f_rest must have {3 * BANDS[degree]} values at degree {degree}"))))
         kinds = {"gid": "long", "f_rest": "array<float>"}
         df = df.select(*[F.col(c).cast(kinds.get(c, "float")).alias(c) for c in GAUSSIANS.names], *[c for c in df.columns if c.startswith(MASK_PREFIX)])
         names = [c.removeprefix(MASK_PREFIX) for c in df.columns if c.startswith(MASK_PREFIX)]

@@ -6,11 +6,16 @@ places on both sides, and 0.0 is added so that no zero is negative.
 
 from __future__ import annotations
 
+import io
 import math
 import os
 import tempfile
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +26,9 @@ from ..operators.detect import domains
 from ..operators.frame import SplatFrame
 from ..schema import BOUNDS, CENTRE, COLOUR, MASK_PREFIX, ROTATION, SCALARS, SCALE, SH_C0
 from ..sources import sog
+from ..sources.files import decode_files, detect_formats
 from ..sources.ply import decompress_bytes
-from ..sources.ply_sink import compress_to_bytes, compress_to_tables
+from ..sources.ply_sink import compress_to_bytes, compress_to_tables, plain_to_bytes
 from ..state import FormatState
 from ..streaming.scenes import in_box, meets_box
 from . import carriers
@@ -358,28 +364,30 @@ _CB = "[" + ", ".join(d(v) for v in CODES) + "]"
 _byte = lambda c: F.col(c)
 
 
-def _means_sql() -> str:
+def _means() -> list[str]:
     v = lambda c, o, lo, hi: f"{d(lo)} + {d((hi - lo) or 1.0)} * (({c} + 256 * {o}) / {d(65535)})"
     parts = [v(c, o, lo, hi) for c, o, lo, hi in zip("rgb", "gba", MINS, MAXS, strict=True)]
-    return f"SELECT pixel, {', '.join(r6(f'sign({p}) * (exp(abs({p})) - 1)', n) for p, n in zip(parts, CENTRE, strict=True))} FROM ({TEX})"
+    return [f"sign({p}) * (exp(abs({p})) - 1)" for p in parts]
 
 
-@query("sog_means", _means_sql())
+_textured = lambda parts, names: f"SELECT pixel, {', '.join(map(r6, parts, names))} FROM ({TEX})"
+
+
+@query("sog_means", _textured(_means(), CENTRE))
 def sog_means(spark, sf_dir):
     """Low bytes r, g, b and high bytes g, b, a of one texture."""
     found = textures.means([_byte(c) for c in "rgb"], [_byte(c) for c in "gba"], MINS, MAXS)
     return carriers.textures(spark, sf_dir).select("pixel", *rounded_as(**dict(zip(CENTRE, found, strict=True))))
 
 
-def _quats_sql() -> str:
+def _quats() -> list[str]:
     x, y, z = (f"(({c} / {d(255)} * 2.0 - 1.0) * {d(1 / math.sqrt(2.0))})" for c in "rgb")
     m = f"sqrt(greatest(0.0, 1.0 - ({x} * {x} + {y} * {y} + {z} * {z})))"
     orders = [(m, x, y, z), (x, m, y, z), (x, y, m, z), (x, y, z, m)]
-    cases = (f"CASE 250 + a % 6 WHEN 252 THEN {orders[0][k]} WHEN 253 THEN {orders[1][k]} WHEN 254 THEN {orders[2][k]} WHEN 255 THEN {orders[3][k]} ELSE {float(k == 3)} END" for k in range(4))
-    return f"SELECT pixel, {', '.join(r6(c, n) for c, n in zip(cases, ROTATION, strict=True))} FROM ({TEX})"
+    return [f"CASE 250 + a % 6 WHEN 252 THEN {orders[0][k]} WHEN 253 THEN {orders[1][k]} WHEN 254 THEN {orders[2][k]} WHEN 255 THEN {orders[3][k]} ELSE {float(k == 3)} END" for k in range(4)]
 
 
-@query("sog_quats", _quats_sql())
+@query("sog_quats", _textured(_quats(), ROTATION))
 def sog_quats(spark, sf_dir):
     """Tags 250 to 255, of which two are none."""
     found = textures.rotations(*[_byte(c) for c in "rgb"], F.lit(250) + F.col("a") % 6)
@@ -437,6 +445,30 @@ def _palette(spark, sf_dir, value: Callable[[Column], Column]) -> DataFrame:
 query("sog_shn_codebook", _palette_sql(_coded))(lambda s, p: _palette(s, p, lambda b: textures.codebook(b, CODES)))
 query("sog_shn_linear", _palette_sql(lambda c: _linear(c, -0.5, 0.5)))(lambda s, p: _palette(s, p, lambda b: textures.linear(b, -0.5, 0.5)))
 
+_BUNDLE = [*_means(), *map(_coded, "rgb"), *_quats(), *map(_coded, "rgb"), _LOGIT(_ALPHA, 1e-6, 1 - 1e-6)]
+
+
+@query("bundle_scene", f"SELECT pixel AS gid, {', '.join(r6(f'({v})::FLOAT::DOUBLE', n) for v, n in zip(_BUNDLE, (*CENTRE, *SCALE, *ROTATION, *COLOUR, 'opacity'), strict=True))} FROM ({TEX})")
+def bundle_scene(spark, sf_dir):
+    """A bundle made of five images and decoded end to end. An image is one value by its format, so a group makes each."""
+    pixels = carriers.textures(spark, sf_dir)
+    images = {"lo": "rgba", "hi": "gbaa", "q": "rgbt", "s": "rgba", "c": "rgba"}
+    tagged = pixels.withColumn("t", F.lit(250) + F.col("a") % 6)
+    layers = F.array(*[F.struct(F.lit(n).alias("path"), F.array(*[F.col(c).cast("int") for c in cs]).alias("v")) for n, cs in images.items()])
+    files = tagged.select("pixel", F.inline(layers)).groupBy("path").applyInArrow(_image, "path string, content binary")
+    meta = {k: {"files": f} for k, f in (("means", ["lo", "hi"]), ("quats", ["q"]), ("scales", ["s"]), ("sh0", ["c"]))} | {"count": pixels.count()}
+    meta["means"] |= {"mins": MINS, "maxs": MAXS}
+    meta["scales"]["codebook"] = meta["sh0"]["codebook"] = CODES
+    return sog.decode_bundle(files, meta, lambda data: np.load(io.BytesIO(data))).df.select("gid", *rounded(*CENTRE, *SCALE, *ROTATION, *COLOUR, "opacity"))
+
+
+def _image(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("pixel")
+    out = io.BytesIO()
+    np.save(out, rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, 1, 4))
+    return pa.table({"path": rows["path"].slice(0, 1), "content": pa.array([out.getvalue()], pa.binary())})
+
+
 # -- files, spatial scans ------------------------------------------------------------------------------------------
 
 
@@ -513,3 +545,37 @@ def packed_tables(spark, sf_dir):
     _, chunks, packed = compress_to_tables(SplatFrame.from_columns(carriers.embeddings(spark, sf_dir), degree=3))
     n = packed.groupBy(F.shiftright("gid", 8).alias("chunk_id")).agg(F.count("*").alias("n"))
     return chunks.join(n, "chunk_id").select("chunk_id", "n", (F.col("min_x") >= -1).alias("bounded"))
+
+
+_SCENES = "SELECT *, (gid >> 12) * 2 + gid % 2 AS scene, (gid & 4095) // 2 AS place FROM"
+
+
+def _scene_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scene, content): files of 2,048 rows at most; even scenes plain, odd ones compressed, and one value that is no file."""
+    rows = SplatFrame.from_columns(carriers.embeddings(spark, sf_dir), degree=3).df
+    scenes = rows.select((F.shiftright("gid", 12) * 2 + F.col("gid") % 2).alias("scene"), F.floor(F.col("gid").bitwiseAND(4095) / 2).cast("long").alias("gid"), *rows.columns[1:])
+    odd = F.col("scene") % 2 == 1
+    return plain_to_bytes(scenes.where(~odd), 3).unionByName(compress_to_bytes(scenes.where(odd), 3))
+
+
+@query("detect_formats", f"SELECT scene, scene % 2 = 1 AS compressed, CASE WHEN scene % 2 = 0 THEN 3 END AS degree, count(*) AS n FROM ({_SCENES} ({PLAIN})) GROUP BY scene UNION ALL SELECT -1, false, NULL, NULL")
+def detect_formats_(spark, sf_dir):
+    """Kind, degree and rows of many files at once, one of which is none."""
+    none = spark.sql("SELECT -1L AS scene, CAST('no file' AS BINARY) AS content")
+    return detect_formats(_scene_files(spark, sf_dir).unionByName(none), "scene")
+
+
+@query("many_files", f"SELECT scene, place AS gid, {', '.join(r6(f'{c}::FLOAT::DOUBLE', c) for c in SCALARS)}, {r6('f_rest[45]::FLOAT::DOUBLE', 'last')} FROM ({_SCENES} ({PLAIN})) WHERE scene % 2 = 0")
+def many_files(spark, sf_dir):
+    """Plain and compressed files scanned side by side; the rows of the plain ones, which come back as they were."""
+    rows = decode_files(_scene_files(spark, sf_dir), 3, "scene").where("scene % 2 = 0")
+    return rows.select("scene", "gid", *rounded(*SCALARS), *rounded_as(last=F.get("f_rest", 44)))
+
+
+@query("many_files_packed", f"SELECT scene, count(*) AS n, true AS within FROM ({_SCENES} ({PLAIN})) WHERE scene % 2 = 1 GROUP BY scene")
+def many_files_packed(spark, sf_dir):
+    """The compressed ones of the same scan: all values as unpacking the packed table gives them."""
+    files = _scene_files(spark, sf_dir).where("scene % 2 = 1")
+    met = decode_files(files, None, "scene").alias("a").join(decompress_bytes(files, 3, "scene", "content").alias("b"), ["scene", "gid"])
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*SCALARS, "f_rest")]
+    return met.groupBy("scene").agg(F.count("*").alias("n"), F.bool_and(reduce(and_, same)).alias("within"))

@@ -1,7 +1,7 @@
 """PLY files: header rules, detection, and a batch source that cuts a file into vertex ranges.
 
 The source opens files with the executors' own file system calls, so they must lie on a disk that all of them mount. For other
-stores read with ``binaryFile`` and ``decompress_bytes``, which takes whole compressed files as values.
+stores, and for many files at once, ``files.read_files`` takes whole files as values.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def detect_format(path: str) -> tuple[bool, int | None]:
     return (True, None) if is_compressed(header) else (False, degree_of(header))
 
 
-def _sh_codes(header: Header) -> int:
+def sh_codes(header: Header) -> int:
     sh = header.element("sh")
     return len(sh[1]) if sh and all(kind == "uchar" for kind, _ in sh[1]) and len(sh[1]) in (9, 24, 45) else 0
 
@@ -151,14 +151,12 @@ class PlyReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([made[c] for c in self.columns], self.columns)
 
     def _packed(self, f, first: int, last: int) -> pa.RecordBatch:
-        chunks, codes, size = -(-self.n // CHUNK_ROWS), _sh_codes(self.header), self.header.size
+        chunks, codes, size = -(-self.n // CHUNK_ROWS), sh_codes(self.header), self.header.size
         low, high = first // CHUNK_ROWS, -(-last // CHUNK_ROWS)
         bounds = self._section(f, size + low * 72, "<f4", high - low, 18)[np.arange(first, last) // CHUNK_ROWS - low]
         words = self._section(f, size + chunks * 72 + first * 16, "<u4", last - first, 4).astype(np.int64)
         sh = self._section(f, size + chunks * 72 + self.n * 16 + first * codes, "u1", last - first, codes).astype(np.int16)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * codes), pa.array(sh.reshape(-1)))
-        columns = [pa.array(np.arange(first, last)), *(pa.array(w) for w in np.ascontiguousarray(words.T)), lists, *(pa.array(b) for b in np.ascontiguousarray(bounds.T))]
-        return pa.RecordBatch.from_arrays(columns, ["gid", *PACKED, "f_rest", *BOUNDS])
+        return pa.RecordBatch.from_arrays(columns_of(first, last, bounds, words, sh), PACKED_SCHEMA.names)
 
 
 PACKED_SCHEMA = T.StructType(
@@ -200,30 +198,45 @@ def read_ply(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     if not compressed:
         rows = (reader.option("columns", ",".join(columns)) if columns else reader).load(path)
         return SplatFrame(rows, FormatState.ply(degree), gaps=False)
-    degree = {0: 0, 9: 1, 24: 2, 45: 3}[_sh_codes(read_header(path))]
+    degree = {0: 0, 9: 1, 24: 2, 45: 3}[sh_codes(read_header(path))]
     return SplatFrame(unpack(reader.load(path), degree), FormatState.ply(degree), gaps=False)
 
 
+def packed_parts(data: pa.Buffer, header: Header) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, bounds, words, codes) of the rows of a compressed file held as one value."""
+    n, codes = header.element("vertex")[0], sh_codes(header)
+    chunks, at = -(-n // CHUNK_ROWS), header.size
+    if data.size < at + chunks * 72 + n * (16 + codes):
+        raise ValueError("the file is cut short")
+    bounds = np.frombuffer(data, "<f4", chunks * 18, at).reshape(chunks, 18)
+    words = np.frombuffer(data, "<u4", n * 4, at + chunks * 72).reshape(n, 4)
+    sh = np.frombuffer(data, "u1", n * codes, at + chunks * 72 + n * 16).reshape(n, codes)
+    for first in range(0, n, BATCH):
+        last = min(first + BATCH, n)
+        yield first, last, bounds[np.arange(first, last) // CHUNK_ROWS], words[first:last].astype(np.int64), sh[first:last].astype(np.int16)
+
+
+def columns_of(first: int, last: int, bounds: np.ndarray, words: np.ndarray, sh: np.ndarray) -> list[pa.Array]:
+    """Columns of PACKED_SCHEMA."""
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * sh.shape[1]), pa.array(sh.reshape(-1)))
+    return [pa.array(np.arange(first, last)), *(pa.array(w) for w in np.ascontiguousarray(words.T)), lists, *(pa.array(b) for b in np.ascontiguousarray(bounds.T))]
+
+
+def header_of(data: pa.Buffer | None) -> Header:
+    """The header of a file held as one value; ValueError if it has none."""
+    return parse_header(b"" if data is None else data.slice(0, min(data.size, LONGEST_HEADER)).to_pybytes())
+
+
 def _explode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            header = parse_header(data or b"")
+        for key, value in zip(batch.column(0), batch.column(1), strict=True):
+            data = value.as_buffer()
+            header = header_of(data)
             if not is_compressed(header):
                 raise ValueError("not a compressed PLY file")
-            n, codes = header.element("vertex")[0], _sh_codes(header)
-            chunks = -(-n // CHUNK_ROWS)
-            at = header.size
-            if len(data) < at + chunks * 72 + n * (16 + codes):
-                raise ValueError("the file is cut short")
-            bounds = np.frombuffer(data, "<f4", chunks * 18, at).reshape(chunks, 18)
-            words = np.frombuffer(data, "<u4", n * 4, at + chunks * 72).reshape(n, 4).astype(np.int64)
-            sh = np.frombuffer(data, "u1", n * codes, at + chunks * 72 + n * 16).reshape(n, codes).astype(np.int16)
-            for first in range(0, n, BATCH):
-                rows = np.arange(first, min(first + BATCH, n))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * codes), pa.array(sh[rows].reshape(-1)))
-                columns = [pa.array([key] * len(rows), batch.column(0).type), pa.array(rows), *(pa.array(w) for w in np.ascontiguousarray(words[rows].T)), lists]
-                columns += [pa.array(b) for b in np.ascontiguousarray(bounds[rows // CHUNK_ROWS].T)]
-                yield pa.RecordBatch.from_arrays(columns, ["scene", "gid", *PACKED, "f_rest", *BOUNDS])
+            for part in packed_parts(data, header):
+                columns = [pa.repeat(key, part[1] - part[0]), *columns_of(*part)]
+                yield pa.RecordBatch.from_arrays(columns, ["scene", *PACKED_SCHEMA.names])
 
 
 def decompress_bytes(files: DataFrame, degree: int = 0, scene_col: str = "path", bytes_col: str = "content") -> DataFrame:

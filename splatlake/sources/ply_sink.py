@@ -142,6 +142,24 @@ def _assemble(degree: int):
     return run
 
 
+def _assemble_plain(degree: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("gid")
+        n = table.num_rows
+        stack = lambda names: np.stack([table[c].to_numpy() for c in names], axis=1)
+        rest = table["f_rest"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, 3 * BANDS[degree])
+        rows = np.concatenate([stack((*CENTRE, *COLOUR)), rest, stack(("opacity", *SCALE, *ROTATION))], axis=1).astype("<f4")
+        return pa.table({"scene": table["scene"].slice(0, 1), "content": pa.array([plain_header(n, degree) + rows.tobytes()], pa.binary())})
+
+    return run
+
+
+def plain_to_bytes(scenes: DataFrame, degree: int = 0) -> DataFrame:
+    """(scene, content): as ``compress_to_bytes``, but plain files."""
+    kind = scenes.schema["scene"].dataType.simpleString()
+    return scenes.groupBy("scene").applyInArrow(_assemble_plain(degree), f"scene {kind}, content binary")
+
+
 def compress_to_bytes(scenes: DataFrame, degree: int = 0) -> DataFrame:
     """(scene, content): a compressed file as one value for each scene of a table (scene, Gaussians in file domains, gids dense in each).
 

@@ -11,7 +11,6 @@ import io
 import json
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -41,6 +40,19 @@ def is_linear(meta: dict) -> bool:
     return "count" not in meta and "shape" in meta.get("means", {})
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The meta.json of a zip or of a folder's file of that name; a zip's images stay in the task."""
+    for batch in batches:
+        for path, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = value.as_buffer()
+            if path.rsplit("/", 1)[-1] == "meta.json":
+                yield pa.RecordBatch.from_arrays([pa.array([data.to_pybytes()], pa.binary())], ["head"])
+            elif data.slice(0, min(2, data.size)).to_pybytes() == b"PK":
+                with zipfile.ZipFile(pa.BufferReader(data)) as z:
+                    if "meta.json" in z.namelist():
+                        yield pa.RecordBatch.from_arrays([pa.array([z.read("meta.json")], pa.binary())], ["head"])
+
+
 def _members(zipped: bytes) -> dict[str, bytes]:
     with zipfile.ZipFile(io.BytesIO(zipped)) as z:
         return {n: z.read(n) for n in z.namelist()}
@@ -67,9 +79,13 @@ def _pixels(decode: Decoder, names: list[str]):
     return run
 
 
-def _texture(pixels: DataFrame, name: str, prefix: str, count: int) -> DataFrame:
-    rows = pixels.where((F.col("name") == name) & (F.col("pixel") < count))
-    return rows.select("pixel", *[F.col(c).alias(f"{prefix}_{c}") for c in textures.CHANNELS])
+def _textures(pixels: DataFrame, named: list[tuple[str, str]], count: int) -> DataFrame:
+    """(pixel, the channels of each image under its prefix): all images meet in one shuffle, a pixel's channels as one number."""
+    code = F.col("r") + F.shiftleft(F.col("g").cast("long"), 8) + F.shiftleft(F.col("b").cast("long"), 16) + F.shiftleft(F.col("a").cast("long"), 24)
+    wanted = pixels.where(F.col("name").isin([name for _, name in named]) & (F.col("pixel") < count)).select("pixel", "name", code.alias("code"))
+    met = wanted.groupBy("pixel").agg(*[F.max(F.when(F.col("name") == name, F.col("code"))).alias(prefix) for prefix, name in named])
+    channel = lambda prefix, k: F.shiftright(prefix, 8 * k).bitwiseAND(F.lit(255)).alias(f"{prefix}_{textures.CHANNELS[k]}")
+    return met.select("pixel", *[channel(prefix, k) for prefix, _ in named for k in range(4)])
 
 
 def palette(centroids: DataFrame, bands: int, value: Callable[[Column], Column]) -> DataFrame:
@@ -90,17 +106,13 @@ def labelled(rows: DataFrame, labels: Column, known: DataFrame, palette_count: i
 
 
 def read_bundle(spark: SparkSession, path: str, decode: Decoder = webp) -> SplatFrame:
-    """A bundle: a .sog zip or a folder. ValueError for missing files or images too small; meta.json is read by the driver."""
+    """A bundle: a .sog zip or a folder. ValueError for missing files or images too small; only the text of meta.json comes to the driver."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    zipped = path.lower().endswith(".sog")
-    if zipped:
-        head = _members(files.first().content).get("meta.json")
-    else:
-        row = files.where(F.col("path").endswith("/meta.json")).first()
-        head = row.content if row else None
-    if head is None:
+    heads = files if path.lower().endswith(".sog") else files.where(F.col("path").endswith("/meta.json"))
+    row = heads.mapInArrow(_heads, "head binary").first()
+    if row is None:
         raise ValueError("the bundle has no meta.json")
-    meta = json.loads(bytes(head).decode())
+    meta = json.loads(bytes(row.head).decode())
     return decode_bundle(files, meta, decode)
 
 
@@ -125,7 +137,7 @@ def decode_bundle(files: DataFrame, meta: dict, decode: Decoder = webp) -> Splat
                 raise ValueError(f"{name} has fewer pixels than the bundle has rows")
     tables = [("lo", parts["means"][0]), ("hi", parts["means"][1]), ("q", parts["quats"][0]), ("s", parts["scales"][0]), ("c", parts["sh0"][0])]
     tables += [("l", parts["shN"][1])] if bands else []
-    joined = reduce(lambda a, b: a.join(b, "pixel"), [_texture(pixels, name, prefix, count) for prefix, name in tables])
+    joined = _textures(pixels, tables, count)
     col = lambda p, channels="rgba": [F.col(f"{p}_{c}") for c in channels]
     means = textures.means(col("lo", "rgb"), col("hi", "rgb"), meta["means"]["mins"], meta["means"]["maxs"])
     if linear:

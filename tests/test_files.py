@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from splatlake.operators.frame import SplatFrame
 from splatlake.sources import sog
+from splatlake.sources.files import detect_formats, load_files, read_files
 from splatlake.sources.ply import decompress_bytes, detect_format, parse_header
 from splatlake.sources.ply_sink import compress_to_bytes, compress_to_tables, compressed_header, output_path, plain_header
 from splatlake.streaming.scenes import in_box, packed_rows_in_box, scene_extents, stream_scenes
@@ -195,3 +196,34 @@ def test_box(spark):
     found = packed_rows_in_box(packed, low, high)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(r.gid for r in found.collect()) == want and want
+
+
+def test_many_files(spark, tmp_path):
+    """A folder of files of both kinds and several degrees, read by a pattern."""
+    for k, degree in enumerate((0, 1, 3)):
+        f = SplatFrame.from_dict(spark, scene(300 + k, degree))
+        f.write(str(tmp_path / f"{k}.ply"))
+        f.write(str(tmp_path / f"{k}.ply"), compressed=True)
+    (tmp_path / "4.txt").write_bytes(b"\n")
+    kinds = {r.scene.rsplit("/", 1)[-1]: (r.compressed, r.degree, r.n) for r in detect_formats(load_files(spark, str(tmp_path))).collect()}
+    assert kinds == {"4.txt": (False, None, None)} | {f"{k}.ply": (False, d, 300 + k) for k, d in enumerate((0, 1, 3))} | {f"{k}.compressed.ply": (True, None, 300 + k) for k in range(3)}
+    values = spark.createDataFrame([("a", None), ("b", bytearray())], "path string, content binary")
+    assert {tuple(r) for r in detect_formats(values).collect()} == {("a", False, None, None), ("b", False, None, None)}
+    rows = read_files(spark, str(tmp_path / "*.ply"))
+    for k in range(3):
+        for name in (f"{k}.ply", f"{k}.compressed.ply"):
+            got = rows.where(F.col("scene").endswith(f"/{name}")).drop("scene").orderBy("gid").collect()
+            want = SplatFrame.read(spark, str(tmp_path / name)).df.select(*rows.columns[1:]).orderBy("gid").collect()
+            assert got == want
+    with pytest.raises(Exception, match="of degree 1"):
+        read_files(spark, str(tmp_path / "0.ply"), 1).collect()
+    assert read_files(spark, [str(tmp_path / "1.ply"), str(tmp_path / "1.compressed.ply")], 1).count() == 602
+    with pytest.raises(Exception, match="not a PLY file"):
+        read_files(spark, str(tmp_path / "4.txt")).collect()
+
+
+def test_width_of_harmonics_is_checked(spark):
+    rows = SplatFrame.from_dict(spark, scene(10, 1)).df
+    assert SplatFrame.from_columns(rows, degree=1).pack().count() == 10
+    with pytest.raises(Exception, match="f_rest must have 45 values"):
+        SplatFrame.from_columns(rows, degree=3).pack().collect()
