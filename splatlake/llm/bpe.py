@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 
 CACHE = 1 << 18
 BYTE_CHARS = "".join(chr(0x100 + b) for b in range(256))
@@ -151,7 +151,7 @@ def _texts(path: str, pattern: str):
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of each text."""
     rows = docs.select(F.col(id_col), F.col(text_col))
-    return rows.mapInArrow(_ids(path, pattern), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return small_batches(rows).mapInArrow(_ids(path, pattern), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -162,7 +162,7 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes each text, decodes its ids, and digests both."""
     rows = docs.select(F.col(id_col), F.col(text_col))
-    return rows.mapInArrow(_digests(path, pattern, 1), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(rows).mapInArrow(_digests(path, pattern, 1), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

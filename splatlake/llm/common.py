@@ -23,6 +23,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def small_batches(texts: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows; from now on the session hands Python tasks at most ``rows`` rows at once, so that whole texts take little memory
+    on either side. A lower setting stays."""
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return texts
+
+
 def remainder(id_column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(id_column.cast("string")) % modulus

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, materialise, utf8
+from .common import BLANKS, LOWER, materialise, small_batches, utf8
 
 MASK = 2**63
 
@@ -77,7 +77,7 @@ def _without(text_at: int, drop_at: int):
 
 def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, check, positions): per document with such lines, the positions of the lines found in ``min_docs`` documents or more."""
-    lines = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(line_keys(min_chars), KEYS)
+    lines = small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col))).mapInArrow(line_keys(min_chars), KEYS)
     often = materialise(lines.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("hi", "lo"))
     hits = materialise(lines.join(often, ["hi", "lo"], "left_semi"))
     documents = hits.select("hi", "lo", "id", F.when(F.col("id").isNull(), F.col("check")).alias("unnamed")).distinct()
@@ -94,7 +94,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     joined = docs.join(hits, same, "left").drop("__id", "__check")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     schema = ", ".join([*fields, "__kept string, __n_lines long, __n_dropped long, __sha256 string"])
-    return joined.mapInArrow(_without(joined.columns.index(text_col), len(joined.columns) - 1), schema)
+    return small_batches(joined).mapInArrow(_without(joined.columns.index(text_col), len(joined.columns) - 1), schema)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

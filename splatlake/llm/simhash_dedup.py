@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, materialise, utf8
+from .common import LOWER, connected_components, materialise, small_batches, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # lowest bit, width
 PAIRS = ((2, 0), (0, 1), (1, 2))  # exact segment, decoded segment
@@ -135,7 +135,7 @@ def text_check(text: Column) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 64) -> DataFrame:
     """(id, check, fp, component): of every row the xxhash64 of its text, the signed fingerprint and the smallest id it reaches."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_check(F.col(text_col)).alias("check"), F.col(text_col).alias("text"))
-    prints = materialise(rows.mapInArrow(_fingerprints, "id long, check long, fp long"))
+    prints = materialise(small_batches(rows).mapInArrow(_fingerprints, "id long, check long, fp long"))
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("low")))
     roots = connected_components(near_edges(classes, max_bucket))
     rooted = materialise(classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, remainder, utf8
+from .common import BLANKS, remainder, small_batches, utf8
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_adjacent", "longest_word", "n_lines",
@@ -76,7 +76,7 @@ def with_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
     """The columns ``keep`` and the COUNTS of each text."""
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS]
     read = keep if text_col in keep else [*keep, text_col]
-    return docs.select(*read).mapInArrow(_count(read.index(text_col), len(keep)), ", ".join(fields))
+    return small_batches(docs.select(*read)).mapInArrow(_count(read.index(text_col), len(keep)), ", ".join(fields))
 
 
 def ratio(name: str) -> Column:
