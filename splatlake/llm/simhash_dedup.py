@@ -12,12 +12,20 @@ if they share one of these 65 words, so linking each to the smallest holder of t
 
 Fewer than three words: the whole sequence is the shingle; none (null, empty, white space only): fingerprint zero, linked
 like any other. Repeated rows are copies; null ids get the component of their fingerprint. Components take the smallest id.
+
+``similar_documents`` is the wider search, for filtering: links are pairs of a Jaccard similarity of 0.8 or more on five-word shingle
+sets. Such texts differ in ten bits of 64 or so, which no Golay key of useful selectivity bridges. So the pairs within two bits are joined by
+those that share one of eight bands of three min-hashes, and every pair is verified on its whole sets. Texts of equal words are one class first.
+Each class meets the smallest class of every bucket. What these stars leave apart is paired within buckets of at most ``max_bucket`` classes; larger ones
+are split by a further band each time, so a pair is tried if at most so many classes share all bands that the two share, or if it holds
+the smallest of them. What can be missed, then, are links inside a crowd of more texts that are all nearly as similar as a link asks, without reaching it.
+Texts without words are one class. Null ids, repeated rows, long texts and empty tables are as above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,20 +40,30 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # lowest bit, width
 PAIRS = ((2, 0), (0, 1), (1, 2))  # exact segment, decoded segment
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 CHUNK = 1 << 16
+BANDS, ROWS = 8, 3  # 0.997 of the pairs at a similarity of 0.8 share a band
 
 
-def fingerprint(text: bytes, n: int = 3) -> int:
-    """SimHash of lower-cased word shingles, repeats included; ties give 0."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included, in big-endian order of bytes."""
     h = xxhash.xxh64_intdigest
-    shingles = [b" ".join(words)] if len(words) < n else [b" ".join(x) for x in zip(*(words[k:] for k in range(n)), strict=False)]
+    if not words:
+        return np.empty(0, dtype=">u8")
+    if len(words) < n:
+        return np.array([h(b" ".join(words), 42)], dtype=">u8")
+    return np.fromiter((h(b" ".join(words[k : k + n]), 42) for k in range(len(words) - n + 1)), dtype=np.uint64, count=len(words) - n + 1).astype(">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; none of none."""
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(shingles), CHUNK):
-        values = np.array([h(s, 42) for s in shingles[k : k + CHUNK]], dtype=">u8")
-        ones += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big")
+    for k in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, n: int = 3) -> int:
+    """SimHash of lower-cased word shingles, repeats included; ties give 0."""
+    return majority(shingle_hashes(text.translate(LOWER).split(), n))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +162,126 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, "fp", "left").select(F.col("id").alias(id_col), "check", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the smallest id and, where rows repeat that id, the one whose text hash is smallest.
+@lru_cache(1)
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd factors of the min-hash functions, as columns."""
+    numbers = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little")) for k in range(2 * BANDS * ROWS)], dtype=np.uint64)
+    return numbers[: BANDS * ROWS, None], numbers[BANDS * ROWS :, None] | np.uint64(1)
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """One signed key for each band of min-hashes."""
+    masks, factors = _permutations()
+    low = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for k in range(0, len(hashes), CHUNK):
+        part = hashes[k : k + CHUNK].astype(np.uint64)
+        np.minimum(low, ((part ^ masks) * factors).min(axis=1), out=low)
+    keys = [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, sizes, prints, bands = [], [], [], []
+            for text in utf8(batch.column(3)):
+                parts = text.translate(LOWER).split()
+                hashes = shingle_hashes(parts, words)
+                classes.append(xxhash.xxh64_intdigest(b" ".join(parts), 7))
+                sizes.append(len(np.unique(hashes)))
+                prints.append(majority(hashes))
+                bands.append(bands_of(hashes))
+            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (classes, prints)]
+            keys = np.array(bands, dtype=np.int64).reshape(-1, BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], signed[0], pa.array(sizes, pa.int64()), signed[1], *(pa.array(keys[:, b]) for b in range(BANDS))],
+                ["id", "check", "ref", "class", "n", "fp", *(f"k{b}" for b in range(BANDS))],
+            )
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.translate(LOWER).split(), words)).astype(np.uint64).view(np.int64) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["class", "shingles"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose shingle sets are that similar. One row of each class that takes part gives its set."""
+    part = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    refs = materialise(classes.join(part, "class", "left_semi").select("class", "ref"))
+    sets = materialise(small_batches(rows.join(refs, "ref").select("class", "text")).mapInArrow(_sets(words), "class long, shingles array<long>").dropDuplicates(["class"]))
+    x, y = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    alike = both * (1 + similarity) >= similarity * (F.size("of_a") + F.size("of_b")) - 1e-9
+    return materialise(pairs.join(x, "a").join(y, "b").where(alike).select("a", "b"))
+
+
+def _pairs(groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of each group that no link connects yet and whose sizes allow the similarity."""
+    x, y = (groups.select("g", *[F.col(c).alias(f"{p}_{c}") for c in ("class", "n", "root")]) for p in "xy")
+    fits = F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-9
+    return x.join(y, "g").where((F.col("x_root") != F.col("y_root")) & (F.col("x_class") < F.col("y_class")) & fits).select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bucket: int = 32) -> DataFrame:
+    """(id, check, class, component): of every row the xxhash64 of its text, the hash of its words and the smallest id linked to it, directly or through others."""
+    text = F.col(text_col)
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(id_.alias("id"), text_check(text).alias("check"), F.xxhash64(id_, F.coalesce(text, F.lit(""))).alias("ref"), text.alias("text"))
+    bands = [f"k{b}" for b in range(BANDS)]
+    sketches = materialise(small_batches(rows).mapInArrow(_sketches(words), "id long, check long, ref long, class long, n long, fp long, " + ", ".join(f"{k} long" for k in bands)))
+    classes = materialise(sketches.groupBy("class").agg(F.min("id").alias("low"), *[F.min(c).alias(c) for c in ("ref", "n", "fp", *bands)]))
+
+    prints = materialise(classes.groupBy("fp").agg(F.min("class").alias("a")))
+    near = near_edges(prints).toDF("x", "y")
+    close = near.join(prints.toDF("x", "a"), "x").join(prints.toDF("y", "b"), "y").select("a", "b")
+    same = classes.join(prints, "fp").select("a", F.col("class").alias("b"))
+    keys = classes.select("class", "n", F.posexplode(F.array(*bands)).alias("band", "key"))
+    first = materialise(keys.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a"))
+    keys = materialise(keys.join(first, "key"))
+    stars = keys.select("a", F.col("class").alias("b"))
+
+    def distinct(pairs: DataFrame) -> DataFrame:
+        return materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    tried = distinct(close.unionByName(same).unionByName(stars))
+    links = _verified(tried, classes, rows, words, similarity)
+    roots = connected_components(links)
+
+    groups = keys.join(roots, keys["class"] == roots.node, "left").select(F.col("key").alias("g"), F.col("band").alias("last"), "class", "n", F.coalesce("root", "class").alias("root"))
+    more = []
+    for _ in range(BANDS):
+        groups = materialise(groups)
+        mixed = groups.groupBy("g").agg(F.count("*").alias("size"), F.min("class").alias("a"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+        apart = materialise(groups.join(mixed.select("g", "size", "a"), "g"))
+        more += [_pairs(apart.where(F.col("size") <= max_bucket), similarity), apart.where(F.col("size") > max_bucket).select("a", F.col("class").alias("b"))]
+        wide = apart.where(F.col("size") > max_bucket)
+        if wide.isEmpty():
+            break
+        groups = wide.join(keys.select("class", "band", "key"), "class").where("band > last").select(F.xxhash64("g", "key").alias("g"), F.col("band").alias("last"), "class", "n", "root")
+    new = distinct(reduce(DataFrame.unionByName, more)).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(materialise(new), classes, rows, words, similarity))
+
+    roots = connected_components(links)
+    whole = materialise(classes.join(roots, classes["class"] == roots.node, "left").select("class", "low", F.coalesce("root", "class").alias("root")))
+    lowest = materialise(whole.groupBy("root").agg(F.min("low").alias("component")))
+    known = materialise(whole.join(lowest, "root").select("class", "component"))
+    return sketches.join(known, "class", "left").select(F.col("id").alias(id_col), "check", "class", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = similar_documents) -> DataFrame:
+    """One row of each component of ``groups``: the smallest id and, where rows repeat that id, the one whose text hash is smallest.
 
     Rows without an id cannot be named, so all of them stay. What goes is joined, which is less than what stays: texts are shuffled only
     where the ids that go are too many to broadcast.
     """
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"), text_check(F.col(text_col)).alias("__check"))
-    found = near_duplicates(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
+    found = groups(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
     gone = materialise(found.where(F.col("__id") != F.col("component")).select("__id", F.col("check").alias("__check")).distinct())
     often = materialise(found.where(F.col("__id") == F.col("component")).groupBy("__id").count().where("count > 1").select("__id"))
     single = rows.join(often, "__id", "left_anti").join(gone, ["__id", "__check"], "left_anti").select("__row")

@@ -54,8 +54,19 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(ids, prints, bits=2):
-    """Smallest id that each row reaches by links of ``bits`` differing bits or fewer."""
+def alike(a, b, least=0.8):
+    """Whether two sets have that Jaccard similarity; two empty ones have."""
+    both = len(a & b)
+    return both * (1 + least) >= least * (len(a) + len(b)) - 1e-9
+
+
+def shingle_set(text, n=5):
+    words = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(words[k : k + n]) for k in range(len(words) - n + 1)) or frozenset([tuple(words)] if words else [])
+
+
+def components(ids, prints, link=lambda a, b: (a ^ b).bit_count() <= 2):
+    """Smallest id that each row reaches by links."""
     root = list(range(len(ids)))
 
     def find(k):
@@ -65,7 +76,7 @@ def components(ids, prints, bits=2):
 
     for a in range(len(ids)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= bits:
+            if link(prints[a], prints[b]):
                 root[find(a)] = find(b)
     groups = defaultdict(list)
     for k in range(len(ids)):

@@ -16,7 +16,7 @@ def brute_pipeline(spark, sf_dir):
     kept = {r.doc_id for r in quality_rules.judge(read("documents"), read("labels"), ["doc_id"]).where("kept").collect()}
     docs = sorted((r.doc_id, r.text) for r in read("documents").collect() if r.doc_id in kept)
     docs = [(i, x[0]) for (i, _), x in zip(docs, brute.lines_kept([t for _, t in docs]), strict=True)]
-    comp = brute.components([i for i, _ in docs], [brute.fingerprint(t) for _, t in docs])
+    comp = brute.components([i for i, _ in docs], [brute.shingle_set(t) for _, t in docs], brute.alike)
     docs = [d for d, c in zip(docs, comp, strict=True) if d[0] == c]
     items = {r.item_id: r.text.lower().split() for r in read("benchmark").collect()}
     held = set()
