@@ -11,7 +11,10 @@ Groups of at most ``ALL_PAIRS`` texts give all their pairs; in larger ones each
 
 Exact passages lose nothing by that: in larger groups of the first two functions, and in those where a text has the key at several places, each passage of
 ``MIN_WORDS`` words that begins in a joint window is counted by its hash, and is repeated if two texts hold it. All other exact passages meet in a group
-that gives all its pairs. Passages that are only similar can be missed in larger groups, if they are unlike what the group's shortest text holds.
+that gives all its pairs. Nor do passages that are only similar: a minimum of a larger group that no passage found so far covers is tried with all other members
+whose surroundings can hold such a passage. Two of them share ``SIMILARITY`` of its shingles, so one at least of those that are left when all but so many of the
+surroundings' commonest are: the rare ones are joined, and what no other member holds is not tried. Members that are covered have their links through the texts
+they were found with; those are not expanded into all pairs.
 
 Verification has both texts: from each shared minimum the passage grows both ways while shared shingles outweigh others 8 to 1, which is
 Jaccard 0.8: to the best balance over the whole texts, else in step with each other, else as far as the balance holds, else as far as both are equal. What
@@ -26,6 +29,7 @@ shingles and words are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -408,24 +412,27 @@ def _verify(min_words: int):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
-        def of(check: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def of(texts: dict[int, bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             nonlocal size
-            if check not in held:
-                if size > REMEMBERED:
-                    held.clear()
-                    size = 0
-                base = shingles(text)
+            if size > REMEMBERED:
+                held.clear()
+                size = 0
+            new = [c for c in texts if c not in held]
+            flat, counts = shingles_of([texts[c] for c in new])
+            for check, base in zip(new, np.split(flat, np.cumsum(counts)[:-1]), strict=False):
                 held[check] = base, np.unique(base)
                 size += 2 * len(base)
-            return held[check]
+            return held
 
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             columns: list[list] = [[] for _ in range(5)]
             names = {n: k for k, n in enumerate(batch.schema.names)}
             col = lambda n: batch.column(names[n])
-            for a, b, ta, tb, anchors in zip(col("a").to_pylist(), col("b").to_pylist(), utf8(col("text_a")), utf8(col("text_b")), col("anchors").to_pylist(), strict=True):
+            checks_a, checks_b = col("a").to_pylist(), col("b").to_pylist()
+            known = of(dict(zip(checks_a, utf8(col("text_a")), strict=True)) | dict(zip(checks_b, utf8(col("text_b")), strict=True)))
+            for a, b, anchors in zip(checks_a, checks_b, col("anchors").to_pylist(), strict=True):
                 pairs = {x for p in anchors for x in anchors_of(p["ca"], p["cb"])}
-                (base_a, sorted_a), (base_b, sorted_b) = of(a, ta), of(b, tb)
+                (base_a, sorted_a), (base_b, sorted_b) = known[a], known[b]
                 for ca, a0, a1, cb, b0, b1 in passages(base_a, base_b, list(pairs), min_words, sorted_a, sorted_b):
                     for column, values in zip(columns, ((a, b), (ca, cb), (a0, b0), (a1, b1), (b, a)), strict=True):
                         column += values
@@ -435,6 +442,29 @@ def _verify(min_words: int):
     return run
 
 
+def _surroundings(min_words: int):
+    least = min_words - N + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (check, centre, needed, shingles) from (check, text, centres): the distinct shingles of all passages of the least length round a centre, and how
+        many of them a similar passage round it has in common with the other's at least."""
+        for batch in batches:
+            checks, centres, needed, found = [], [], [], []
+            for check, text, places in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                base = shingles(text)
+                for c in places:
+                    part = base[max(0, c - least + 1) : c + least]
+                    distinct = np.unique(part)
+                    # A passage's shingles are distinct but for as many as are repeated in all its surroundings.
+                    needed.append(math.ceil(SIMILARITY * max(1, least - len(part) + len(distinct)) - 1e-9))
+                    checks.append(check), centres.append(c), found.append(distinct.view(np.int64))
+            if checks:
+                columns = [pa.array(checks, pa.int64()), pa.array(centres, pa.int32()), pa.array(needed, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["check", "centre", "needed", "shingles"])
+
+    return run
+
+
 def _hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
@@ -454,6 +484,30 @@ def candidates(joint: DataFrame, groups: DataFrame, all_pairs: int = ALL_PAIRS)
     return materialise(pairs.unionByName(stars).groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")))
 
 
+def rest(joint: DataFrame, groups: DataFrame, ranges: DataFrame, texts: DataFrame, min_words: int, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """(a, b, anchors): of large groups the pairs of a member whose minimum no range (check, first, last) covers with every other one that can hold a similar passage there."""
+    large = joint.join(groups.where(F.col("n") > all_pairs).select("key"), "key").select("key", "check", F.explode("centres").alias("centre")).distinct()
+    large = materialise(large)
+    within = (F.col("check") == F.col("r_check")) & (F.col("centre") >= F.col("first")) & (F.col("centre") <= F.col("last") - (N - 1))
+    bare = materialise(large.join(ranges.select(F.col("check").alias("r_check"), "first", "last"), within, "left_anti"))
+    members = materialise(large.join(bare.select("key").distinct(), "key", "left_semi"))
+    centres = members.groupBy("check").agg(F.collect_set("centre").alias("centres"))
+    local = materialise(texts.join(centres, "check").select("check", "text", "centres").mapInArrow(_surroundings(min_words), "check long, centre int, needed int, shingles array<long>"))
+    held = local.select("check", F.explode("shingles").alias("s")).distinct()
+    common = materialise(held.groupBy("s").agg(F.count("*").alias("holders")).where("holders > 1"))
+    # Shingles that one text alone has come first in the order and meet nothing: their number is all that is left of them.
+    ends = local.join(bare.select("check", "centre").distinct(), ["check", "centre"]).select("check", "centre", F.size("shingles").alias("n"), "needed", F.explode("shingles").alias("s"))
+    ends = ends.join(common, "s").groupBy("check", "centre", "n", "needed").agg(F.array_sort(F.collect_list(F.struct("holders", "s"))).alias("order"))
+    first = F.size("order") - F.col("needed") + 1
+    rare = materialise(ends.where(first > 0).select("check", "centre", F.explode(F.slice("order", 1, first)).alias("o")).select("check", "centre", "o.s"))
+    met = local.select("check", "centre", F.explode("shingles").alias("s")).join(rare.select("s").distinct(), "s", "left_semi").join(members, ["check", "centre"])
+    tried = rare.join(bare, ["check", "centre"]).select("key", "s", F.col("check").alias("x"), F.col("centre").alias("cx"))
+    pairs = tried.join(met.select("key", "s", F.col("check").alias("y"), F.col("centre").alias("cy")), ["key", "s"]).where("x <> y").select("x", "cx", "y", "cy").distinct()
+    swap = F.col("x") > F.col("y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *[F.array(F.when(swap, F.col(s)).otherwise(F.col(t))).alias(n) for s, t, n in (("cy", "cx", "ca"), ("cx", "cy", "cb"))])
+    return materialise(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """(id, n_words, spans, partner) of documents with repeated passages: merged word ranges, last word included, and the smallest id of a text that shares one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -478,13 +532,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     met = candidates(joint, groups, all_pairs)
     both = _texts(texts, materialise(met.select(F.col("a").alias("check")).union(met.select("b")).distinct()))
-    with_a = met.join(both.select(F.col("check").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(both.select(F.col("check").alias("b"), F.col("text").alias("text_b")), "b")
-    verified = with_both.mapInArrow(_verify(min_words), "check long, centre int, first int, last int, other long")
-    # Passages round one centre hold it, and exact ones that begin within their own length touch: the union of either is one range.
-    verified = verified.select("check", F.col("centre").cast("long").alias("place"), F.lit(False).alias("exact"), "first", "last", "other")
-    ranges = verified.unionByName(exact.withColumn("exact", F.lit(True)))
-    ranges = materialise(ranges.groupBy("check", "place", "exact").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("other").alias("other")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(both.select(F.col("check").alias("a"), F.col("text").alias("text_a")), "a")
+        with_both = with_a.join(both.select(F.col("check").alias("b"), F.col("text").alias("text_b")), "b")
+        found = with_both.mapInArrow(_verify(min_words), "check long, centre int, first int, last int, other long")
+        return found.select("check", F.col("centre").cast("long").alias("place"), F.lit(False).alias("exact"), "first", "last", "other")
+
+    def united(ranges: DataFrame) -> DataFrame:
+        """Passages round one centre hold it, and exact ones that begin within their own length touch: the union of either is one range."""
+        return materialise(ranges.groupBy("check", "place", "exact").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("other").alias("other")))
+
+    ranges = united(verified(met).unionByName(exact.withColumn("exact", F.lit(True))))
+    ranges = ranges.unionByName(united(verified(rest(joint, groups, ranges, both, min_words, all_pairs))))
     classes = materialise(ids.groupBy("check").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
     sizes = windows.where((F.shiftright("place", 32) == F.shiftright("place", 16).bitwiseAND(0xFFFF)) & (F.col("key").bitwiseAND(3) == 0)).select("check", "n_words").distinct()
     partners = ranges.join(classes.select(F.col("check").alias("other"), "low"), "other").select("check", "first", "last", F.col("low").alias("partner"))

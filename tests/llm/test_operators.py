@@ -497,6 +497,21 @@ def test_near_passages_against_brute_force(spark, all_pairs):
         assert all(b - a >= 49 for a, b in row.spans)
 
 
+def test_no_near_passage_of_a_crowd_is_lost(spark):
+    """Texts of ten crowds all change one word of a passage of 60: each one that is similar to another is found, whatever the group's shortest text holds."""
+    r = random.Random(5)
+    texts, want = [], set()
+    for k in range(10):
+        passage = unlike(110_000 + k, 60)
+        crowd = [f"{unlike(120_000 + 100 * k + j, 10)} {spoilt(passage, 1, r)} {unlike(130_000 + 100 * k + j, 10)}" for j in range(40)]
+        split = [t.split() for t in crowd]
+        cuts = [[{tuple(w[i : i + 5]) for i in range(s, s + 46)} for s in range(len(w) - 49)] for w in split]
+        want |= {len(texts) + a for a in range(40) if any(a != b and any(len(x & y) >= 0.8 * len(x | y) for x, y in zip(cuts[a], cuts[b], strict=True)) for b in range(40))}
+        texts += crowd
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_shingles_of_many_texts_are_those_of_each():
     texts = [(t or "").encode() for t in TEXTS] + [b"a " * 300_000 + b"z" * 400_000 + b" tail of five more words", b"y" * 300_000]
     values, counts = substring_dedup.shingles_of(texts)
