@@ -16,16 +16,18 @@ like any other. Repeated rows are copies; null ids get the component of their fi
 ``similar_documents`` is the wider search, for filtering: links are pairs of a Jaccard similarity of 0.8 or more on five-word shingle
 sets. Such texts differ in ten bits of 64 or so, which no Golay key of useful selectivity bridges. So the pairs within two bits are joined by
 those that share one of eight bands of three min-hashes, and every pair is verified on its whole sets. Texts of equal words are one class first.
-Each class meets the smallest class of every bucket. What these stars leave apart is paired within buckets of at most ``max_bucket`` classes; larger ones
-are split by a further band each time, so a pair is tried if at most so many classes share all bands that the two share, or if it holds
-the smallest of them. What can be missed, then, are links inside a crowd of more texts that are all nearly as similar as a link asks, without reaching it.
+Each class meets the smallest class of every bucket. What these stars leave apart is searched without loss: two sets of that similarity share one at least of each one's
+smallest shingles, all but 0.8 of the set less one. Classes of different components that share such a shingle are tried, in groups of at most ``max_bucket``. Those of
+larger groups are searched again by the rarest shingles among them instead of the smallest, and there groups of any size give all pairs. So no link is lost; a crowd
+of texts that are all nearly as similar as a link asks costs the square of its size.
 Texts without words are one class. Null ids, repeated rows, long texts and empty tables are as above.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +42,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # lowest bit, width
 PAIRS = ((2, 0), (0, 1), (1, 2))  # exact segment, decoded segment
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 CHUNK = 1 << 16
+MOST_BROADCAST = 2_000_000
 BANDS, ROWS = 8, 3  # 0.997 of the pairs at a similarity of 0.8 share a band
 
 
@@ -180,22 +183,29 @@ def bands_of(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def _sketches(words: int):
+def needed(n: int, similarity: float) -> int:
+    """So many shingles does a set of ``n`` have in common with one that similar, at least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _sketches(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sizes, prints, bands = [], [], [], []
+            classes, sizes, prints, bands, firsts = [], [], [], [], []
             for text in utf8(batch.column(3)):
                 parts = text.translate(LOWER).split()
                 hashes = shingle_hashes(parts, words)
                 classes.append(xxhash.xxh64_intdigest(b" ".join(parts), 7))
-                sizes.append(len(np.unique(hashes)))
+                distinct = np.unique(hashes.astype(np.uint64))
+                sizes.append(len(distinct))
+                firsts.append(distinct[: len(distinct) - needed(len(distinct), similarity) + 1 if len(distinct) else 0].view(np.int64))
                 prints.append(majority(hashes))
                 bands.append(bands_of(hashes))
             signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (classes, prints)]
             keys = np.array(bands, dtype=np.int64).reshape(-1, BANDS)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], signed[0], pa.array(sizes, pa.int64()), signed[1], *(pa.array(keys[:, b]) for b in range(BANDS))],
-                ["id", "check", "ref", "class", "n", "fp", *(f"k{b}" for b in range(BANDS))],
+                [*batch.columns[:3], signed[0], pa.array(sizes, pa.int64()), signed[1], *(pa.array(keys[:, b]) for b in range(BANDS)), pa.array(firsts, pa.list_(pa.int64()))],
+                ["id", "check", "ref", "class", "n", "fp", *(f"k{b}" for b in range(BANDS)), "first"],
             )
 
     return run
@@ -210,15 +220,25 @@ def _sets(words: int):
     return run
 
 
+def _hinted(df: DataFrame) -> DataFrame:
+    """A table that is read for the second time, broadcast up to ``MOST_BROADCAST`` rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def _shingle_sets(part: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(class, shingles) of the classes in ``part``, from one row of each. Texts are not shuffled unless the rows are too many to broadcast."""
+    refs = materialise(classes.join(part, "class", "left_semi").select("class", "ref"))
+    return materialise(small_batches(rows.join(_hinted(refs), "ref").select("class", "text")).mapInArrow(_sets(words), "class long, shingles array<long>").dropDuplicates(["class"]))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of classes whose shingle sets are that similar. One row of each class that takes part gives its set."""
     part = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    refs = materialise(classes.join(part, "class", "left_semi").select("class", "ref"))
-    sets = materialise(small_batches(rows.join(refs, "ref").select("class", "text")).mapInArrow(_sets(words), "class long, shingles array<long>").dropDuplicates(["class"]))
+    sets = _shingle_sets(part, classes, rows, words)
     x, y = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = both * (1 + similarity) >= similarity * (F.size("of_a") + F.size("of_b")) - 1e-9
-    return materialise(pairs.join(x, "a").join(y, "b").where(alike).select("a", "b"))
+    return materialise(_hinted(pairs).join(x, "a").join(y, "b").where(alike).select("a", "b"))
 
 
 def _pairs(groups: DataFrame, similarity: float) -> DataFrame:
@@ -228,13 +248,21 @@ def _pairs(groups: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, "g").where((F.col("x_root") != F.col("y_root")) & (F.col("x_class") < F.col("y_class")) & fits).select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
 
 
+def _apart(held: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(g, class, n, root, size): the groups of ``held`` (g, class) that have classes of several components."""
+    often = materialise(held.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"))
+    met = materialise(held.join(often, "g").join(rooted.select("class", "n", "root"), "class"))
+    mixed = met.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("g")
+    return materialise(met.join(mixed, "g", "left_semi"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bucket: int = 32) -> DataFrame:
     """(id, check, class, component): of every row the xxhash64 of its text, the hash of its words and the smallest id linked to it, directly or through others."""
     text = F.col(text_col)
     id_ = F.col(id_col).cast("long")
     rows = docs.select(id_.alias("id"), text_check(text).alias("check"), F.xxhash64(id_, F.coalesce(text, F.lit(""))).alias("ref"), text.alias("text"))
     bands = [f"k{b}" for b in range(BANDS)]
-    sketches = materialise(small_batches(rows).mapInArrow(_sketches(words), "id long, check long, ref long, class long, n long, fp long, " + ", ".join(f"{k} long" for k in bands)))
+    sketches = materialise(small_batches(rows).mapInArrow(_sketches(words, similarity), "id long, check long, ref long, class long, n long, fp long, " + ", ".join(f"{k} long" for k in bands) + ", first array<long>"))
     classes = materialise(sketches.groupBy("class").agg(F.min("id").alias("low"), *[F.min(c).alias(c) for c in ("ref", "n", "fp", *bands)]))
 
     prints = materialise(classes.groupBy("fp").agg(F.min("class").alias("a")))
@@ -253,18 +281,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = _verified(tried, classes, rows, words, similarity)
     roots = connected_components(links)
 
-    groups = keys.join(roots, keys["class"] == roots.node, "left").select(F.col("key").alias("g"), F.col("band").alias("last"), "class", "n", F.coalesce("root", "class").alias("root"))
-    more = []
-    for _ in range(BANDS):
-        groups = materialise(groups)
-        mixed = groups.groupBy("g").agg(F.count("*").alias("size"), F.min("class").alias("a"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-        apart = materialise(groups.join(mixed.select("g", "size", "a"), "g"))
-        more += [_pairs(apart.where(F.col("size") <= max_bucket), similarity), apart.where(F.col("size") > max_bucket).select("a", F.col("class").alias("b"))]
-        wide = apart.where(F.col("size") > max_bucket)
-        if wide.isEmpty():
-            break
-        groups = wide.join(keys.select("class", "band", "key"), "class").where("band > last").select(F.xxhash64("g", "key").alias("g"), F.col("band").alias("last"), "class", "n", "root")
-    new = distinct(reduce(DataFrame.unionByName, more)).join(tried, ["a", "b"], "left_anti")
+    rooted = materialise(classes.join(roots, classes["class"] == roots.node, "left").select("class", "n", "ref", F.coalesce("root", "class").alias("root")))
+    held = rooted.join(sketches.select("class", "ref", "first"), ["class", "ref"]).select("class", "first")
+    groups = _apart(materialise(held.select(F.explode("first").alias("g"), "class")), rooted)
+    crowded = groups.where(F.col("size") > max_bucket).select("class").distinct()
+    sets = _shingle_sets(crowded, classes, rows, words).select("class", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    counts = materialise(sets.groupBy("g").agg(F.count("*").alias("holders")).where("holders > 1"))
+    ordered = sets.join(counts, "g").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "g"))).alias("order"))
+    # Shingles that one class alone has come first and meet nothing.
+    first = F.size("order") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    rare = materialise(ordered.where(first > 0).select("class", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("o")).select("o.g", "class"))
+    more = _pairs(groups.where(F.col("size") <= max_bucket), similarity).unionByName(_pairs(_apart(rare, rooted), similarity))
+    new = distinct(more).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(materialise(new), classes, rows, words, similarity))
 
     roots = connected_components(links)

@@ -278,6 +278,18 @@ def test_similar_documents_are_found(spark, bucket):
     assert recall["crowds"] >= 0.99 or bucket == 4  # a crowd whose texts are 0.7 alike and sometimes 0.8, beyond the bucket: the docstring's limit
 
 
+@pytest.mark.parametrize("bucket", [1, 4])
+def test_no_link_of_a_crowd_is_lost(spark, bucket):
+    """A crowd beyond the bucket whose texts are nearly as similar as a link asks, and here and there so: the components are those of brute force."""
+    r = random.Random(8)
+    words = unlike(1000, 120).split()
+    texts = [changed(words, r.sample(range(120), 2), f"crowd_{j}_") for j in range(40)] + ["", None, "two words", "Two  words", "three more words"]
+    want = brute.components(list(range(len(texts))), [brute.shingle_set(t) for t in texts], brute.alike)
+    found = simhash_dedup.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), max_bucket=bucket)
+    assert {x.doc_id: x.component for x in found.collect()} == {k: want[k] for k in range(len(texts))}
+    assert len({want[k] for k in range(40)}) < 40
+
+
 def test_scratch_tables_can_be_dropped(spark, docs):
     import os
 
