@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splatlake.llm.bpe import token_digests
-from splatlake.llm.common import materialise
+from splatlake.llm.common import materialise, release
 from splatlake.llm.decontaminate import drop_leaks
 from splatlake.llm.line_dedup import drop_common_lines
 from splatlake.llm.quality_rules import filter_documents
@@ -62,9 +62,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs)
+            release(read)
     return docs
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BLANKS = b" \t\n\x0b\x0c\r"
+#: Shuffle files of a table that is written are of no more use; Spark then deletes them at once instead of when the driver collects garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -48,19 +52,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Removes the tables that ``materialise`` has left in the shared folder for this application. Results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/splatlake-{spark.sparkContext.applicationId}-*")
+def _delete(spark: SparkSession, pattern: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     for found in system.globStatus(path) or ():
         system.delete(found.getPath(), True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes the tables that ``materialise`` has left in the shared folder for this application. Results that still read them must be written before."""
+    _delete(spark, f"{shared_folder(spark)}/splatlake-{spark.sparkContext.applicationId}-*")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/splatlake-{df.sparkSession.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: lineage ends there, and losing an executor loses nothing. Its shuffle files go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/splatlake-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before) if before is not None else spark.conf.unset(CLEAN_SHUFFLES)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` has written, when everything that reads them has been written itself. Other tables are left alone."""
+    for table in tables:
+        if path := _written.pop(table, None):
+            _delete(table.sparkSession, path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -80,17 +103,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         state = links.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if state == seen or state[0] == 0:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            _written[roots] = _written.pop(links)  # to be released by the caller
+            return roots
         seen = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = minima(both.unionByName(links.select(F.col("v").alias("u"), "v")))
+        old, low = links, minima(both.unionByName(links.select(F.col("v").alias("u"), "v")))
         large = materialise(
             links.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
             .unionByName(low.where("u <> m").select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
+        release(old, low)
         low = minima(large)
         links = materialise(
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
+        release(large, low)

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,13 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, materialise, small_batches, utf8
+from .common import LOWER, connected_components, materialise, release, small_batches, utf8
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # lowest bit, width
 PAIRS = ((2, 0), (0, 1), (1, 2))  # exact segment, decoded segment
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 CHUNK = 1 << 16
 MOST_BROADCAST = 2_000_000
+SLICES = 4  # parts in which whole shingle sets are shuffled, one after the other
 BANDS, ROWS = 8, 3  # 0.997 of the pairs at a similarity of 0.8 share a band
 
 
@@ -139,6 +140,7 @@ def near_edges(classes: DataFrame, max_bucket: int = 64) -> DataFrame:
     keys = materialise(classes.select("fp").mapInArrow(_keys, "key long, fp long"))
     sizes = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = materialise(keys.join(sizes, "key"))
+    release(keys, sizes)
     small = shared.where(F.col("n") <= max_bucket).select("key", "fp")
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= 2))
     large = shared.where(F.col("n") > max_bucket).select("fp").distinct()
@@ -146,7 +148,9 @@ def near_edges(classes: DataFrame, max_bucket: int = 64) -> DataFrame:
     words = materialise(large.select("fp", F.explode(F.array(*around)).alias("word")))
     first = materialise(words.groupBy("word").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("word", "low"))
     stars = words.join(first, "word").where("fp <> low")
-    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).unionByName(stars.select(F.col("fp").alias("a"), F.col("low").alias("b"))).distinct()
+    edges = materialise(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).unionByName(stars.select(F.col("fp").alias("a"), F.col("low").alias("b"))).distinct())
+    release(shared, words, first)
+    return edges
 
 
 def text_check(text: Column) -> Column:
@@ -225,20 +229,35 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
+def _in_slices(table: Callable[[Callable[[str], Column]], DataFrame]) -> DataFrame:
+    """The tables that ``table`` gives for each of ``SLICES`` conditions on a column, together. Each is written before the next is made, so that only its shuffles are on disk."""
+    parts = [materialise(table(lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(SLICES)) == k)) for k in range(SLICES)]
+    whole = materialise(reduce(DataFrame.unionByName, parts))
+    release(*parts)
+    return whole
+
+
 def _shingle_sets(part: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(class, shingles) of the classes in ``part``, from one row of each. Texts are not shuffled unless the rows are too many to broadcast."""
     refs = materialise(classes.join(part, "class", "left_semi").select("class", "ref"))
-    return materialise(small_batches(rows.join(_hinted(refs), "ref").select("class", "text")).mapInArrow(_sets(words), "class long, shingles array<long>").dropDuplicates(["class"]))
+    sets = materialise(small_batches(rows.join(_hinted(refs), "ref").select("class", "text")).mapInArrow(_sets(words), "class long, shingles array<long>").dropDuplicates(["class"]))
+    release(refs)
+    return sets
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose shingle sets are that similar. One row of each class that takes part gives its set."""
+    """Those of the pairs (a, b) of classes whose shingle sets are that similar. One row of each class that takes part gives its set.
+
+    A class of many pairs sends its set with each. So that these copies are not all on disk at once, the pairs are taken in ``SLICES`` parts by ``b``.
+    """
     part = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     sets = _shingle_sets(part, classes, rows, words)
     x, y = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = both * (1 + similarity) >= similarity * (F.size("of_a") + F.size("of_b")) - 1e-9
-    return materialise(_hinted(pairs).join(x, "a").join(y, "b").where(alike).select("a", "b"))
+    links = _in_slices(lambda part: _hinted(pairs.where(part("b"))).join(x, "a").join(y.where(part("b")), "b").where(alike).select("a", "b"))
+    release(sets)
+    return links
 
 
 def _pairs(groups: DataFrame, similarity: float) -> DataFrame:
@@ -253,7 +272,9 @@ def _apart(held: DataFrame, rooted: DataFrame) -> DataFrame:
     often = materialise(held.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"))
     met = materialise(held.join(often, "g").join(rooted.select("class", "n", "root"), "class"))
     mixed = met.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("g")
-    return materialise(met.join(mixed, "g", "left_semi"))
+    apart = materialise(met.join(mixed, "g", "left_semi"))
+    release(often, met)
+    return apart
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bucket: int = 32) -> DataFrame:
@@ -266,40 +287,58 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = materialise(sketches.groupBy("class").agg(F.min("id").alias("low"), *[F.min(c).alias(c) for c in ("ref", "n", "fp", *bands)]))
 
     prints = materialise(classes.groupBy("fp").agg(F.min("class").alias("a")))
-    near = near_edges(prints).toDF("x", "y")
+    edges = near_edges(prints)
+    near = edges.toDF("x", "y")
     close = near.join(prints.toDF("x", "a"), "x").join(prints.toDF("y", "b"), "y").select("a", "b")
     same = classes.join(prints, "fp").select("a", F.col("class").alias("b"))
     keys = classes.select("class", "n", F.posexplode(F.array(*bands)).alias("band", "key"))
     first = materialise(keys.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a"))
     keys = materialise(keys.join(first, "key"))
+    release(first)
     stars = keys.select("a", F.col("class").alias("b"))
 
     def distinct(pairs: DataFrame) -> DataFrame:
         return materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     tried = distinct(close.unionByName(same).unionByName(stars))
+    release(edges, prints, keys)
     links = _verified(tried, classes, rows, words, similarity)
     roots = connected_components(links)
 
     rooted = materialise(classes.join(roots, classes["class"] == roots.node, "left").select("class", "n", "ref", F.coalesce("root", "class").alias("root")))
+    release(roots)
     held = rooted.join(sketches.select("class", "ref", "first"), ["class", "ref"]).select("class", "first")
-    groups = _apart(materialise(held.select(F.explode("first").alias("g"), "class")), rooted)
+    held = materialise(held.select(F.explode("first").alias("g"), "class"))
+    groups = _apart(held, rooted)
+    release(held)
     crowded = groups.where(F.col("size") > max_bucket).select("class").distinct()
-    sets = _shingle_sets(crowded, classes, rows, words).select("class", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-    counts = materialise(sets.groupBy("g").agg(F.count("*").alias("holders")).where("holders > 1"))
-    ordered = sets.join(counts, "g").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "g"))).alias("order"))
-    # Shingles that one class alone has come first and meet nothing.
-    first = F.size("order") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    rare = materialise(ordered.where(first > 0).select("class", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("o")).select("o.g", "class"))
-    more = _pairs(groups.where(F.col("size") <= max_bucket), similarity).unionByName(_pairs(_apart(rare, rooted), similarity))
-    new = distinct(more).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(materialise(new), classes, rows, words, similarity))
-
-    roots = connected_components(links)
+    of_crowds = _shingle_sets(crowded, classes, rows, words)
+    sets = of_crowds.select("class", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    counts = _in_slices(lambda part: sets.where(part("g")).groupBy("g").agg(F.count("*").alias("holders")).where("holders > 1"))
+
+    def rarest(part: Callable[[str], Column]) -> DataFrame:
+        ordered = sets.where(part("class")).join(counts, "g").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "g"))).alias("order"))
+        # Shingles that one class alone has come first and meet nothing.
+        first = F.size("order") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+        return ordered.where(first > 0).select("class", F.explode(F.slice("order", F.lit(1), first.cast("int"))).alias("o")).select("o.g", "class")
+
+    rare = _in_slices(rarest)
+    release(of_crowds, counts)
+    again = _apart(rare, rooted)
+    more = distinct(_pairs(groups.where(F.col("size") <= max_bucket), similarity).unionByName(_pairs(again, similarity)))
+    release(groups, rare, again)
+    new = materialise(more.join(tried, ["a", "b"], "left_anti"))
+    others = _verified(new, classes, rows, words, similarity)
+    release(more, tried)
+
+    roots = connected_components(links.unionByName(others))
+    release(links, others)
     whole = materialise(classes.join(roots, classes["class"] == roots.node, "left").select("class", "low", F.coalesce("root", "class").alias("root")))
     lowest = materialise(whole.groupBy("root").agg(F.min("low").alias("component")))
     known = materialise(whole.join(lowest, "root").select("class", "component"))
-    return sketches.join(known, "class", "left").select(F.col("id").alias(id_col), "check", "class", "component")
+    found = materialise(sketches.join(known, "class", "left").select(F.col("id").alias(id_col), "check", "class", "component"))
+    release(sketches, classes, rooted, roots, new, whole, lowest, known)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = similar_documents) -> DataFrame:
@@ -312,6 +351,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     found = groups(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
     gone = materialise(found.where(F.col("__id") != F.col("component")).select("__id", F.col("check").alias("__check")).distinct())
     often = materialise(found.where(F.col("__id") == F.col("component")).groupBy("__id").count().where("count > 1").select("__id"))
+    release(found)
     single = rows.join(often, "__id", "left_anti").join(gone, ["__id", "__check"], "left_anti").select("__row")
     repeated = rows.join(often, "__id", "left_semi").join(gone, ["__id", "__check"], "left_anti").groupBy("__id").agg(F.min_by("__row", "__check").alias("__row"))
     return single.unionByName(repeated.select("__row")).select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

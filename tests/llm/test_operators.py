@@ -306,6 +306,36 @@ def test_scratch_tables_can_be_dropped(spark, docs):
     os.rmdir(f"{folder}/splatlake-of-another-job")
 
 
+def shuffle_files(spark):
+    return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark, docs):
+    import time
+
+    from splatlake.llm.common import materialise
+
+    before = shuffle_files(spark)
+    made = materialise(docs.groupBy("text").count())
+    until = time.time() + 10
+    while (more := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not more and made.count()
+
+
+@pytest.mark.parametrize(("search", "left"), [(simhash_dedup.similar_documents, 1), (simhash_dedup.keep_one, 2)])
+def test_near_duplicates_leave_no_scratch_behind(spark, docs, search, left):
+    import os
+
+    from splatlake.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = search(docs)
+    assert len(set(os.listdir(folder)) - before) == left
+    found.count()
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(k, k + 1) for k in range(200)]
     star = [(1000, 1000 + k) for k in range(1, 300)]
