@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, materialise, utf8
+from .common import BLANKS, LOWER, materialise, release, utf8
 
 N = 5
 MIN_WORDS = 50
@@ -470,7 +470,9 @@ def _hinted(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    return materialise(rows.join(_hinted(wanted, wanted.count()), "check", "left_semi").dropDuplicates(["check"]))
+    texts = materialise(rows.join(_hinted(wanted, wanted.count()), "check", "left_semi").dropDuplicates(["check"]))
+    release(wanted)
+    return texts
 
 
 def candidates(joint: DataFrame, groups: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
@@ -505,7 +507,9 @@ def rest(joint: DataFrame, groups: DataFrame, ranges: DataFrame, texts: DataFram
     pairs = tried.join(met.select("key", "s", F.col("check").alias("y"), F.col("centre").alias("cy")), ["key", "s"]).where("x <> y").select("x", "cx", "y", "cy").distinct()
     swap = F.col("x") > F.col("y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *[F.array(F.when(swap, F.col(s)).otherwise(F.col(t))).alias(n) for s, t, n in (("cy", "cx", "ca"), ("cx", "cy", "cb"))])
-    return materialise(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")))
+    found = materialise(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")))
+    release(large, bare, members, local, common, rare)
+    return found
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, all_pairs: int = ALL_PAIRS) -> DataFrame:
@@ -520,12 +524,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = windows.join(often, "key", "left_semi").dropDuplicates(["key", "check", "place"])
     by_text = shared.groupBy("check", "n_words").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
     joint = materialise(by_text.mapInArrow(_joint, JOINT))
+    first_of_text = (F.shiftright("place", 32) == F.shiftright("place", 16).bitwiseAND(0xFFFF)) & (F.col("key").bitwiseAND(3) == 0)
+    sizes = materialise(windows.where(first_of_text).select("check", "n_words").distinct())
+    release(windows, often)
     groups = joint.groupBy("key").agg(F.count("*").alias("n"), F.max(F.size("centres")).alias("places"), F.min(F.struct("n_words", "check", "centres")).alias("lead"))
     groups = materialise(groups.where("n > 1"))
 
     crowded = groups.where((F.col("key").bitwiseAND(7) == 0) & ((F.col("n") > all_pairs) | (F.col("places") > 1))).select("key")
     crowded = materialise(joint.join(crowded, "key", "left_semi").groupBy("check").agg(F.collect_list("starts").alias("ranges")))
-    stretches = materialise(_texts(texts, crowded.select("check")).join(crowded, "check").mapInArrow(_exact(min_words), "key long, check long, first int"))
+    of_crowds = _texts(texts, crowded.select("check"))
+    stretches = materialise(of_crowds.join(crowded, "check").mapInArrow(_exact(min_words), "key long, check long, first int"))
+    release(crowded, of_crowds)
     holders = materialise(stretches.groupBy("key").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least < most"))
     other = F.when(F.col("check") == F.col("least"), F.col("most")).otherwise(F.col("least"))
     exact = stretches.join(holders, "key").select("check", F.floor(F.col("first") / min_words).alias("place"), "first", (F.col("first") + F.lit(min_words - 1)).alias("last"), other.alias("other"))
@@ -543,10 +552,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """Passages round one centre hold it, and exact ones that begin within their own length touch: the union of either is one range."""
         return materialise(ranges.groupBy("check", "place", "exact").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("other").alias("other")))
 
-    ranges = united(verified(met).unionByName(exact.withColumn("exact", F.lit(True))))
-    ranges = ranges.unionByName(united(verified(rest(joint, groups, ranges, both, min_words, all_pairs))))
+    near = united(verified(met).unionByName(exact.withColumn("exact", F.lit(True))))
+    release(stretches, holders, met)
+    more = rest(joint, groups, near, both, min_words, all_pairs)
+    release(joint, groups)
+    last = united(verified(more))
+    release(more, both)
+    ranges = near.unionByName(last)
     classes = materialise(ids.groupBy("check").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
-    sizes = windows.where((F.shiftright("place", 32) == F.shiftright("place", 16).bitwiseAND(0xFFFF)) & (F.col("key").bitwiseAND(3) == 0)).select("check", "n_words").distinct()
     partners = ranges.join(classes.select(F.col("check").alias("other"), "low"), "other").select("check", "first", "last", F.col("low").alias("partner"))
     whole = classes.where("copies > 1").join(sizes, "check").select("check", F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"), F.col("low").alias("partner"))
     merged = partners.unionByName(whole).groupBy("check").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges"), F.min("partner").alias("partner"))
@@ -554,6 +567,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         concat(slice(s, 1, size(s) - 1), array(named_struct('first', s[size(s) - 1].first, 'last', greatest(s[size(s) - 1].last, r.last)))),
         concat(s, array(named_struct('first', r.first, 'last', r.last)))))""")
     found = materialise(merged.select("check", spans.alias("spans"), "partner").join(sizes, "check"))
+    release(near, last, classes, sizes)
     return ids.join(found, "check").select(F.col("id").alias(id_col), "n_words", "spans", "partner")
 
 

@@ -323,8 +323,8 @@ def test_a_written_table_leaves_no_shuffle_behind(spark, docs):
     assert not more and made.count()
 
 
-@pytest.mark.parametrize(("search", "left"), [(simhash_dedup.similar_documents, 1), (simhash_dedup.keep_one, 2)])
-def test_near_duplicates_leave_no_scratch_behind(spark, docs, search, left):
+@pytest.mark.parametrize(("search", "left"), [(simhash_dedup.similar_documents, 1), (simhash_dedup.keep_one, 2), (substring_dedup.repeated_passages, 2)])
+def test_searches_leave_no_scratch_behind(spark, docs, search, left):
     import os
 
     from splatlake.llm.common import shared_folder
