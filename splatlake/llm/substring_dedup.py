@@ -12,8 +12,9 @@ Groups of at most ``ALL_PAIRS`` texts give all their pairs; in larger ones each
 Exact passages lose nothing by that: in larger groups of the first two functions, and in those where a text has the key at several places, each passage of
 ``MIN_WORDS`` words that begins in a joint window is counted by its hash, and is repeated if two texts hold it. All other exact passages meet in a group
 that gives all its pairs. Nor do passages that are only similar: a minimum of a larger group that no passage found so far covers is tried with all other members
-whose surroundings can hold such a passage. Two of them share ``SIMILARITY`` of its shingles, so one at least of those that are left when all but so many of the
-surroundings' commonest are: the rare ones are joined, and what no other member holds is not tried. Members that are covered have their links through the texts
+whose surroundings can hold such a passage: at least as many shingles as it has in a row, of which a fifth at most is not the other's. Members of a group are
+compared in tiles of ``QUERIES`` times ``MEMBERS``, each pair once, on 32-bit hashes, whose collisions only add tries. Passages of twice the length and more are
+searched from the minima of their parts. Members that are covered have their links through the texts
 they were found with; those are not expanded into all pairs.
 
 Verification has both texts: from each shared minimum the passage grows both ways while shared shingles outweigh others 8 to 1, which is
@@ -32,6 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -54,7 +56,9 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 BOTH = list(combinations(range(HASHES), 2))  # the functions of a joint window; the first counts exact passages
 TOGETHER = 1 << 19  # words whose trees grow at a time
 PIECE = 1 << 18  # bytes whose words are hashed at a time
+PARTS = 4  # of the pairs whose texts are on the way at a time
 SLICE = 256  # pairs whose texts and anchors a task unpacks at a time
+QUERIES, MEMBERS = 128, 1024  # places of a group that a task compares at a time, about
 REMEMBERED = 1 << 23  # shingles of texts met before that a task holds
 KNOWN = 1 << 20  # texts that a task remembers to have seen
 
@@ -446,21 +450,107 @@ def _surroundings(min_words: int):
     least = min_words - N + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (check, centre, needed, shingles) from (check, text, centres): the distinct shingles of all passages of the least length round a centre, and how
-        many of them a similar passage round it has in common with the other's at least."""
+        """Rows (check, centre, bare, middle, shingles) from (check, text, places): the shingle at a place, and in 32 bits all shingles of the passages of less than
+        twice the least length that hold it."""
         for batch in batches:
-            checks, centres, needed, found = [], [], [], []
+            checks, centres, bare, middles, found = [], [], [], [], []
             for check, text, places in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                base = shingles(text)
-                for c in places:
-                    part = base[max(0, c - least + 1) : c + least]
-                    distinct = np.unique(part)
-                    # A passage's shingles are distinct but for as many as are repeated in all its surroundings.
-                    needed.append(math.ceil(SIMILARITY * max(1, least - len(part) + len(distinct)) - 1e-9))
-                    checks.append(check), centres.append(c), found.append(distinct.view(np.int64))
+                base = shingles(text).view(np.int64)
+                for p in places:
+                    c = p["centre"]
+                    checks.append(check), centres.append(c), bare.append(p["bare"]), middles.append(base[c])
+                    found.append(base[max(0, c - 2 * least + 2) : c + 2 * least - 1].astype(np.int32))
             if checks:
-                columns = [pa.array(checks, pa.int64()), pa.array(centres, pa.int32()), pa.array(needed, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["check", "centre", "needed", "shingles"])
+                columns = [pa.array(checks, pa.int64()), pa.array(centres, pa.int32()), pa.array(bare, pa.bool_()), pa.array(middles, pa.int64()), pa.array(found, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["check", "centre", "bare", "middle", "shingles"])
+
+    return run
+
+
+def _columns(values: np.ndarray, sizes: np.ndarray, before: np.ndarray, reach: int, fill: int) -> np.ndarray:
+    """A column for each of the surroundings, with the shingle at the place in row ``reach`` and ``before`` others above it."""
+    out = np.full((len(sizes), 2 * reach + 1), fill, values.dtype)
+    row, top = np.arange(2 * reach + 1), (reach - before)[:, None]
+    out[(row >= top) & (row < top + sizes[:, None])] = values
+    return np.ascontiguousarray(out.T)
+
+
+def _losses(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What a shingle that isn't shared counts: -4, but 1 where the surroundings have had it before."""
+    out = np.ones(len(values), np.int16)
+    out[np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | values, return_index=True)[1]] = -4
+    return out
+
+
+def alike(x: np.ndarray, sizes_x: np.ndarray, before_x: np.ndarray, y: np.ndarray, sizes_y: np.ndarray, before_y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of surroundings that can hold a passage of similarity 0.8 round their places: ``least`` shingles or more, of which a fifth at most is not the other's.
+
+    ``x`` and ``y`` hold the shingles of all surroundings, one after the other, ``before`` how many of them stand before the place. Shared shingles count 1, others
+    -4; those that the surroundings repeat count -4 but once, so no such pair is left out.
+    """
+    reach = 2 * least - 2
+    names, x = np.unique(x, return_inverse=True)
+    at = np.minimum(np.searchsorted(names, y), len(names) - 1)
+    nobody = len(names)  # stands for shingles of no x, and for places outside of the text
+    y = np.where(names[at] == y, at, nobody)
+    outside = -4 * reach
+    loss_x, loss_y = (_columns(_losses(v, n), n, k, reach, outside) for v, n, k in ((x, sizes_x, before_x), (y + 0, sizes_y, before_y)))
+    places_x, places_y = (_columns(v, n, k, reach, nobody) for v, n, k in ((x, sizes_x, before_x), (y, sizes_y, before_y)))
+    in_y = np.zeros((nobody + 1, len(sizes_y)), bool)
+    in_y[places_y, np.arange(len(sizes_y))] = True
+    in_y[nobody] = False
+    ends = np.arange(reach + 1, 2 * reach + 2)
+    latest = np.minimum(reach, ends - least)  # the last start of a passage that ends there
+
+    def can_hold(losses: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        sums = np.zeros((2 * reach + 2, shared.shape[1]), np.int16)
+        np.cumsum(np.where(shared, np.int16(1), losses), axis=0, out=sums[1:])
+        return (sums[ends] - np.minimum.accumulate(sums[: reach + 1], axis=0)[latest]).max(axis=0) >= 0
+
+    found_x, found_y = [], []
+    for k in range(len(sizes_x)):
+        shared = in_y[places_x[:, k]]
+        distinct = max(1, least - np.count_nonzero(loss_x[:, k] == 1))  # in a passage at least
+        some = np.flatnonzero(5 * np.count_nonzero(shared, axis=0) >= 4 * distinct)
+        some = some[can_hold(loss_x[:, k, None], shared[:, some])] if len(some) else some
+        if len(some):
+            in_x = np.zeros(nobody + 1, bool)
+            in_x[places_x[:, k]] = True
+            in_x[nobody] = False
+            some = some[can_hold(loss_y[:, some], in_x[places_y[:, some]])]
+            found_x.append(np.full(len(some), k)), found_y.append(some)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_x]), np.concatenate([none, *found_y])
+
+
+def _alike(min_words: int):
+    least = min_words - N + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, b, ca, cb) from lists of (query, check, centre, shingles): the pairs of a query and another that are ``alike``."""
+        for batch in batches:
+            lists = batch.column(0)
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            query, check, centre, shingles = (flat.field(k) for k in range(4))
+            query, check, centre = query.to_numpy(zero_copy_only=False), check.to_numpy(), centre.to_numpy()
+            values, cuts = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for low, high in zip(ends[:-1], ends[1:], strict=True):
+                sizes = np.diff(cuts[low : high + 1])
+                part, asks = values[cuts[low] : cuts[high]].astype(np.int64) & 0xFFFFFFFF, query[low:high]
+                if asks.all() or not asks.any():
+                    continue
+                of_query = np.repeat(asks, sizes)
+                before = np.minimum(centre[low:high], 2 * least - 2)
+                i, j = alike(part[of_query], sizes[asks], before[asks], part[~of_query], sizes[~asks], before[~asks], least)
+                i, j = low + np.flatnonzero(asks)[i], low + np.flatnonzero(~asks)[j]
+                i, j = i[check[i] != check[j]], j[check[i] != check[j]]
+                swap = check[i] > check[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                for column, found in zip(columns, (check[i], check[j], centre[i], centre[j]), strict=True):
+                    column.append(found)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["a", "b", "ca", "cb"])
 
     return run
 
@@ -492,23 +582,27 @@ def rest(joint: DataFrame, groups: DataFrame, ranges: DataFrame, texts: DataFram
     large = materialise(large)
     within = (F.col("check") == F.col("r_check")) & (F.col("centre") >= F.col("first")) & (F.col("centre") <= F.col("last") - (N - 1))
     bare = materialise(large.join(ranges.select(F.col("check").alias("r_check"), "first", "last"), within, "left_anti"))
-    members = materialise(large.join(bare.select("key").distinct(), "key", "left_semi"))
-    centres = members.groupBy("check").agg(F.collect_set("centre").alias("centres"))
-    local = materialise(texts.join(centres, "check").select("check", "text", "centres").mapInArrow(_surroundings(min_words), "check long, centre int, needed int, shingles array<long>"))
-    held = local.select("check", F.explode("shingles").alias("s")).distinct()
-    common = materialise(held.groupBy("s").agg(F.count("*").alias("holders")).where("holders > 1"))
-    # Shingles that one text alone has come first in the order and meet nothing: their number is all that is left of them.
-    ends = local.join(bare.select("check", "centre").distinct(), ["check", "centre"]).select("check", "centre", F.size("shingles").alias("n"), "needed", F.explode("shingles").alias("s"))
-    ends = ends.join(common, "s").groupBy("check", "centre", "n", "needed").agg(F.array_sort(F.collect_list(F.struct("holders", "s"))).alias("order"))
-    first = F.size("order") - F.col("needed") + 1
-    rare = materialise(ends.where(first > 0).select("check", "centre", F.explode(F.slice("order", 1, first)).alias("o")).select("check", "centre", "o.s"))
-    met = local.select("check", "centre", F.explode("shingles").alias("s")).join(rare.select("s").distinct(), "s", "left_semi").join(members, ["check", "centre"])
-    tried = rare.join(bare, ["check", "centre"]).select("key", "s", F.col("check").alias("x"), F.col("centre").alias("cx"))
-    pairs = tried.join(met.select("key", "s", F.col("check").alias("y"), F.col("centre").alias("cy")), ["key", "s"]).where("x <> y").select("x", "cx", "y", "cy").distinct()
-    swap = F.col("x") > F.col("y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *[F.array(F.when(swap, F.col(s)).otherwise(F.col(t))).alias(n) for s, t, n in (("cy", "cx", "ca"), ("cx", "cy", "cb"))])
-    found = materialise(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")))
-    release(large, bare, members, local, common, rare)
+    members = large.join(bare.select("key").distinct(), "key", "left_semi").select("check", "centre").distinct()
+    members = members.join(bare.select("check", "centre", F.lit(True).alias("bare")).distinct(), ["check", "centre"], "left")
+    places = members.groupBy("check").agg(F.collect_list(F.struct("centre", F.coalesce("bare", F.lit(False)).alias("bare"))).alias("places"))
+    local = texts.join(places, "check").select("check", "text", "places").mapInArrow(_surroundings(min_words), "check long, centre int, bare boolean, middle long, shingles array<int>")
+    local = materialise(local)
+    release(large, bare)
+    # The queries and the members of one middle shingle meet in tiles, so that no task holds a whole group.
+    tiles = local.groupBy("middle").agg(F.ceil(F.count_if("bare") / QUERIES).cast("int").alias("across"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("down"))
+    tiles = materialise(tiles.where("across > 0"))
+    tiled = local.join(_hinted(tiles, tiles.count()), "middle")
+    own = F.xxhash64("check", "centre")
+
+    def dealt(rows: DataFrame, query: bool) -> DataFrame:
+        mine, others = ("across", "down") if query else ("down", "across")
+        rows = rows.withColumn(mine, F.pmod(own, F.col(mine)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return rows.select("middle", "across", "down", F.struct(F.lit(query).alias("query"), "check", "centre", "shingles").alias("row"))
+
+    met = dealt(tiled.where("bare"), True).unionByName(dealt(tiled, False)).groupBy("middle", "across", "down").agg(F.collect_list("row").alias("rows"))
+    pairs = met.select("rows").mapInArrow(_alike(min_words), "a long, b long, ca int, cb int")
+    found = materialise(pairs.groupBy("a", "b").agg(F.collect_set(F.struct(F.array("ca").alias("ca"), F.array("cb").alias("cb"))).alias("anchors")))
+    release(local, tiles)
     return found
 
 
@@ -542,9 +636,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = candidates(joint, groups, all_pairs)
     both = _texts(texts, materialise(met.select(F.col("a").alias("check")).union(met.select("b")).distinct()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(both.select(F.col("check").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(both.select(F.col("check").alias("b"), F.col("text").alias("text_b")), "b")
+    def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        with_a = pairs.join(of.select(F.col("check").alias("a"), F.col("text").alias("text_a")), "a")
+        with_both = with_a.join(of.select(F.col("check").alias("b"), F.col("text").alias("text_b")), "b")
         found = with_both.mapInArrow(_verify(min_words), "check long, centre int, first int, last int, other long")
         return found.select("check", F.col("centre").cast("long").alias("place"), F.lit(False).alias("exact"), "first", "last", "other")
 
@@ -552,13 +646,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """Passages round one centre hold it, and exact ones that begin within their own length touch: the union of either is one range."""
         return materialise(ranges.groupBy("check", "place", "exact").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("other").alias("other")))
 
-    near = united(verified(met).unionByName(exact.withColumn("exact", F.lit(True))))
+    def in_parts(pairs: DataFrame, of: DataFrame) -> list[DataFrame]:
+        """The passages of all pairs. Each pair carries both its texts, so one part after the other is shuffled and verified."""
+        return [united(verified(pairs.where(F.pmod(F.xxhash64("a"), F.lit(PARTS)) == k), of)) for k in range(PARTS)]
+
+    near = [united(exact.withColumn("exact", F.lit(True))), *in_parts(met, both)]
     release(stretches, holders, met)
-    more = rest(joint, groups, near, both, min_words, all_pairs)
+    more = rest(joint, groups, reduce(DataFrame.unionByName, near), both, min_words, all_pairs)
     release(joint, groups)
-    last = united(verified(more))
-    release(more, both)
-    ranges = near.unionByName(last)
+    again = _texts(both, materialise(more.select(F.col("a").alias("check")).union(more.select("b")).distinct()))
+    release(both)
+    last = in_parts(more, again)
+    release(more, again)
+    ranges = reduce(DataFrame.unionByName, near + last)
     classes = materialise(ids.groupBy("check").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
     partners = ranges.join(classes.select(F.col("check").alias("other"), "low"), "other").select("check", "first", "last", F.col("low").alias("partner"))
     whole = classes.where("copies > 1").join(sizes, "check").select("check", F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"), F.col("low").alias("partner"))
@@ -567,7 +667,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         concat(slice(s, 1, size(s) - 1), array(named_struct('first', s[size(s) - 1].first, 'last', greatest(s[size(s) - 1].last, r.last)))),
         concat(s, array(named_struct('first', r.first, 'last', r.last)))))""")
     found = materialise(merged.select("check", spans.alias("spans"), "partner").join(sizes, "check"))
-    release(near, last, classes, sizes)
+    release(*near, *last, classes, sizes)
     return ids.join(found, "check").select(F.col("id").alias(id_col), "n_words", "spans", "partner")
 
 

@@ -554,6 +554,28 @@ def test_no_near_passage_of_a_crowd_is_lost(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_alike_surroundings_against_brute_force():
+    """Each pair of places round which a passage can lie comes once, whatever the shingles that both share."""
+    r, least = np.random.default_rng(4), 6
+    reach = 2 * least - 2
+
+    def can_hold(own, c, others):
+        return any(
+            p <= c < q and 5 * len(set(own[p:q]) - set(others)) <= len(set(own[p:q]))
+            for p in range(max(0, c - reach), c + 1) for q in range(p + least, min(len(own), c + reach + 1) + 1)
+        )
+
+    texts = [r.integers(0, k % 7 + 2, r.integers(least, 30)).tolist() for k in range(40)] + [(np.arange(20) + k).tolist() for k in range(8)]
+    places = [int(r.integers(0, len(t))) for t in texts]
+    near = [t[max(0, c - reach) : c + reach + 1] for t, c in zip(texts, places, strict=True)]
+    flat = lambda k: (np.array(sum(near[k], []), np.int64), np.array([len(x) for x in near[k]]), np.minimum(places[k], reach))
+    one, two = slice(0, None, 2), slice(1, None, 2)
+    got = list(zip(*(x.tolist() for x in substring_dedup.alike(*flat(one), *flat(two), least)), strict=True))
+    sides = [list(zip(texts[k], places[k], near[k], strict=True)) for k in (one, two)]
+    want = {(i, j) for i, (a, ca, na) in enumerate(sides[0]) for j, (b, cb, nb) in enumerate(sides[1]) if can_hold(a, ca, nb) and can_hold(b, cb, na)}
+    assert want and want <= set(got) and len(set(got)) == len(got) < len(sides[0]) * len(sides[1])
+
+
 def test_shingles_of_many_texts_are_those_of_each():
     texts = [(t or "").encode() for t in TEXTS] + [b"a " * 300_000 + b"z" * 400_000 + b" tail of five more words", b"y" * 300_000]
     values, counts = substring_dedup.shingles_of(texts)
