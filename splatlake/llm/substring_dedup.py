@@ -11,8 +11,9 @@ Groups of at most ``ALL_PAIRS`` texts give all their pairs; in larger ones each
 
 Exact passages lose nothing by that: in larger groups of the first two functions, and in those where a text has the key at several places, each passage of
 ``MIN_WORDS`` words that begins in a joint window is counted by its hash, and is repeated if two texts hold it. All other exact passages meet in a group
-that gives all its pairs. Nor do passages that are only similar: a minimum of a larger group that no passage found so far covers is tried with all other members
-whose surroundings can hold such a passage: at least as many shingles as it has in a row, of which a fifth at most is not the other's. Members of a group are
+that gives all its pairs. Nor do passages that are only similar: a minimum of a larger group that no passage found so far covers is held against all other members,
+of which some can hold such a passage: at least as many shingles as it has in a row, four shared ones for each that either text has alone. Those are tried there, on the surroundings;
+of the ones that hold a passage the most similar and those that reach furthest are then verified on whole texts, and all of them if none does. Members of a group are
 compared in tiles of ``QUERIES`` times ``MEMBERS``, each pair once, on 32-bit hashes, whose collisions only add tries. Passages of twice the length and more are
 searched from the minima of their parts. Members that are covered have their links through the texts
 they were found with; those are not expanded into all pairs.
@@ -32,9 +33,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,29 @@ UP, DOWN = _powers(int(FACTOR), PIECE + 1), _powers(pow(int(FACTOR), -1, 2**64),
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    out = np.sort(values)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
+
+def _unbroken(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows, sorted by ``names``, in tables that hold all rows of each of their groups, and where the groups begin and end."""
+    held = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = pa.concat_tables([held, part]).combine_chunks() if held is not None else part
+        if not part.num_rows:
+            continue
+        keys = [part.column(n).to_numpy() for n in names]
+        starts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+        held = part.slice(starts[-1])
+        if len(starts) > 1:
+            yield part.slice(0, starts[-1]), starts
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
 def _hash_words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of at most PIECE bytes, and where they begin. A word's hash is a difference of running sums, moved to place 0."""
     data = np.frombuffer(blob, np.uint8)
@@ -230,18 +254,15 @@ JOINT = "key long, check long, n_words int, centres array<int>, starts array<int
 
 
 def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of JOINT from (check, n_words, windows): per two functions and their minima the places in a text of the first one's.
+    """Rows of JOINT from (check, n_words, key, place), sorted by check: per two functions and their minima the places in a text of the first one's.
 
     starts: for the first two functions the first and last place of each joint window, by turns.
     """
-    for batch in batches:
-        lists = batch.column(2)
-        flat = lists.flatten()
-        count = np.diff(lists.offsets.to_numpy())
-        text = np.repeat(np.arange(batch.num_rows), count)
-        n_words = batch.column(1).to_numpy().astype(np.int64)
+    for table, cuts in _unbroken(batches, ["check"]):
+        checks, n_words, key, packed = (table.column(n).to_numpy() for n in ("check", "n_words", "key", "place"))
+        text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        checks, n_words = checks[cuts[:-1]], n_words[cuts[:-1]].astype(np.int64)
         offset = np.append(0, np.cumsum(n_words)[:-1])
-        key, packed = (flat.field(k).to_numpy() for k in range(2))
         centre = packed >> 32
         first, last = centre - (packed >> 16 & 0xFFFF) + offset[text], centre - (packed & 0xFFFF) + offset[text]
         function = key & 3
@@ -269,7 +290,7 @@ def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 ranges = np.stack([np.maximum(first[ia], first[ib]) - offset[owner], np.minimum(last[ia], last[ib]) - offset[owner]], axis=1).astype(np.int32).ravel()
                 starts = pa.ListArray.from_arrays(pa.array((2 * np.append(rows, len(joint))).astype(np.int32)), pa.array(ranges))
-            columns = [pa.array(joint[rows].view(np.int64)), batch.column(0).take(pa.array(owner[rows])), pa.array(n_words[owner[rows]].astype(np.int32)), centres, starts]
+            columns = [pa.array(joint[rows].view(np.int64)), pa.array(checks[owner[rows]]), pa.array(n_words[owner[rows]].astype(np.int32)), centres, starts]
             yield pa.RecordBatch.from_arrays(columns, ["key", "check", "n_words", "centres", "starts"])
 
 
@@ -350,10 +371,14 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 Passage = tuple[int, int, int, int, int, int]
 
 
-def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], min_words: int, sorted_a: np.ndarray | None = None, sorted_b: np.ndarray | None = None) -> list[Passage]:
-    """(anchor a, first and last word in a, anchor b, first and last word in b) of verified passages. ``sorted_a``, ``sorted_b``: distinct shingles in order."""
+def passages(
+    a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], min_words: int, sorted_a: np.ndarray | None = None, sorted_b: np.ndarray | None = None, sure: frozenset[tuple[int, int]] = frozenset()
+) -> list[Passage]:
+    """(anchor a, first and last word in a, anchor b, first and last word in b) of verified passages. ``sorted_a``, ``sorted_b``: distinct shingles in order;
+    ``sure``: anchors that have one in their surroundings; if no other is found, it is taken."""
     least = min_words - N + 1
-    sorted_a, sorted_b = np.unique(a) if sorted_a is None else sorted_a, np.unique(b) if sorted_b is None else sorted_b
+    reach = 2 * least - 2
+    sorted_a, sorted_b = _distinct(a) if sorted_a is None else sorted_a, _distinct(b) if sorted_b is None else sorted_b
     shared_a, shared_b = _among(a, sorted_b), _among(b, sorted_a)
     if 5 * min(np.count_nonzero(shared_a), np.count_nonzero(shared_b)) < 4 * least:  # too few for a passage of the least length
         return []
@@ -364,7 +389,7 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], min_w
 
     def similar(a0: int, a1: int, b0: int, b1: int) -> bool:
         if (span := (a0, a1, b0, b1)) not in tried:
-            sa, sb = np.unique(a[a0 : a1 + 1]), np.unique(b[b0 : b1 + 1])
+            sa, sb = _distinct(a[a0 : a1 + 1]), _distinct(b[b0 : b1 + 1])
             both = int(_among(sa, sb).sum())
             tried[span] = both >= SIMILARITY * (len(sa) + len(sb) - both)
         return tried[span]
@@ -398,6 +423,11 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], min_w
             if 5 * min(span_a[1] - span_a[0] + 1, span_b[1] - span_b[0] + 1) >= 4 * least and similar(a0, a1, b0, b1):
                 found.append((ca, a0, a1 + N - 1, cb, b0, b1 + N - 1))
                 break
+        else:
+            if (ca, cb) in sure:
+                la, lb = max(0, ca - reach), max(0, cb - reach)
+                here = passages(a[la : ca + reach + 1], b[lb : cb + reach + 1], [(ca - la, cb - lb)], min_words)
+                found += [(ca, la + a0, la + a1, cb, lb + b0, lb + b1) for _, a0, a1, _, b0, b1 in here]
     return found
 
 
@@ -410,6 +440,10 @@ def anchors_of(places_a: list[int], places_b: list[int]) -> Iterator[tuple[int,
         yield places_a[0], b
 
 
+#: Anchors of two places as one number, its lowest 31 bits the second, the next one for those that have a passage in their surroundings; where a minimum has several places in a text, ``repeats`` has them all.
+PAIR = "a long, b long, anchors array<long>, repeats array<struct<ca:array<int>,cb:array<int>>>"
+
+
 def _verify(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (check, centre, first, last, other) for both sides of verified pairs."""
@@ -424,7 +458,7 @@ def _verify(min_words: int):
             new = [c for c in texts if c not in held]
             flat, counts = shingles_of([texts[c] for c in new])
             for check, base in zip(new, np.split(flat, np.cumsum(counts)[:-1]), strict=False):
-                held[check] = base, np.unique(base)
+                held[check] = base, _distinct(base)
                 size += 2 * len(base)
             return held
 
@@ -434,10 +468,11 @@ def _verify(min_words: int):
             col = lambda n: batch.column(names[n])
             checks_a, checks_b = col("a").to_pylist(), col("b").to_pylist()
             known = of(dict(zip(checks_a, utf8(col("text_a")), strict=True)) | dict(zip(checks_b, utf8(col("text_b")), strict=True)))
-            for a, b, anchors in zip(checks_a, checks_b, col("anchors").to_pylist(), strict=True):
-                pairs = {x for p in anchors for x in anchors_of(p["ca"], p["cb"])}
+            for a, b, anchors, repeats in zip(checks_a, checks_b, col("anchors").to_pylist(), col("repeats").to_pylist(), strict=True):
+                near = frozenset((x >> 32, x & 0x7FFFFFFF) for x in anchors if x & 1 << 31)
+                pairs = {(x >> 32, x & 0x7FFFFFFF) for x in anchors} | {x for p in repeats for x in anchors_of(p["ca"], p["cb"])}
                 (base_a, sorted_a), (base_b, sorted_b) = known[a], known[b]
-                for ca, a0, a1, cb, b0, b1 in passages(base_a, base_b, list(pairs), min_words, sorted_a, sorted_b):
+                for ca, a0, a1, cb, b0, b1 in passages(base_a, base_b, list(pairs), min_words, sorted_a, sorted_b, near):
                     for column, values in zip(columns, ((a, b), (ca, cb), (a0, b0), (a1, b1), (b, a)), strict=True):
                         column += values
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
@@ -475,26 +510,45 @@ def _columns(values: np.ndarray, sizes: np.ndarray, before: np.ndarray, reach: i
     return np.ascontiguousarray(out.T)
 
 
-def _losses(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What a shingle that isn't shared counts: -4, but 1 where the surroundings have had it before."""
-    out = np.ones(len(values), np.int16)
-    out[np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | values, return_index=True)[1]] = -4
-    return out
-
-
-def alike(x: np.ndarray, sizes_x: np.ndarray, before_x: np.ndarray, y: np.ndarray, sizes_y: np.ndarray, before_y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of surroundings that can hold a passage of similarity 0.8 round their places: ``least`` shingles or more, of which a fifth at most is not the other's.
-
-    ``x`` and ``y`` hold the shingles of all surroundings, one after the other, ``before`` how many of them stand before the place. Shared shingles count 1, others
-    -4; those that the surroundings repeat count -4 but once, so no such pair is left out.
+def _weights(values: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each shingle counts on the way from the place to either side: where it is shared 1, else -4, and 0 where it has been met on that side; nor do losses
+    after the place count that are met before it too. Last, how many shingles of each of the surroundings are repeats."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    after = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes) > before[owner]
+    side = 1 << 32
+    key = owner << 33 | np.where(after, side, 0) | values
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+    ends, runs = np.append(starts[1:], len(key)) - 1, key[starts]
+    later = runs & side != 0
+    met = order[np.where(later, starts, ends)]
+    twice = met[_among(runs ^ side, runs)] if len(runs) else met
+    gains = np.zeros(len(values), np.int16)
+    gains[met] = 1
+    losses = -4 * gains
+    losses[twice[after[twice]]] = 0
+    distinct = np.bincount(owner[met], minlength=len(sizes)) - np.bincount(owner[twice], minlength=len(sizes)) // 2
+    return gains, losses, sizes - distinct
+
+
+def _alike_each(
+    x: np.ndarray, sizes_x: np.ndarray, before_x: np.ndarray, y: np.ndarray, sizes_y: np.ndarray, before_y: np.ndarray, least: int, jaccard: bool = False
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``alike``, for one after the other of x: its number, those of y, and which of its surroundings' shingles each of these shares.
+
+    ``jaccard``: only those where both passages together can be similar. That takes four shared shingles for each that either has alone, and a passage has
+    as many alone as the best stretch of the least length at least.
     """
     reach = 2 * least - 2
     names, x = np.unique(x, return_inverse=True)
     at = np.minimum(np.searchsorted(names, y), len(names) - 1)
     nobody = len(names)  # stands for shingles of no x, and for places outside of the text
-    y = np.where(names[at] == y, at, nobody)
     outside = -4 * reach
-    loss_x, loss_y = (_columns(_losses(v, n), n, k, reach, outside) for v, n, k in ((x, sizes_x, before_x), (y + 0, sizes_y, before_y)))
+    weights_x, weights_y = _weights(x, sizes_x, before_x), _weights(y, sizes_y, before_y)
+    y = np.where(names[at] == y, at, nobody)
+    gain_x, loss_x = (_columns(w, sizes_x, before_x, reach, out) for w, out in zip(weights_x[:2], (0, outside), strict=True))
+    gain_y, loss_y = (_columns(w, sizes_y, before_y, reach, out) for w, out in zip(weights_y[:2], (0, outside), strict=True))
     places_x, places_y = (_columns(v, n, k, reach, nobody) for v, n, k in ((x, sizes_x, before_x), (y, sizes_y, before_y)))
     in_y = np.zeros((nobody + 1, len(sizes_y)), bool)
     in_y[places_y, np.arange(len(sizes_y))] = True
@@ -502,55 +556,111 @@ def alike(x: np.ndarray, sizes_x: np.ndarray, before_x: np.ndarray, y: np.ndarra
     ends = np.arange(reach + 1, 2 * reach + 2)
     latest = np.minimum(reach, ends - least)  # the last start of a passage that ends there
 
-    def can_hold(losses: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    def balance(gains: np.ndarray, losses: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        sums = np.zeros((2 * reach + 2, shared.shape[1]), np.int16)
+        np.cumsum(np.where(shared, gains, losses), axis=0, out=sums[1:])
+        return (sums[ends] - np.minimum.accumulate(sums[: reach + 1], axis=0)[latest]).max(axis=0)
+
+    def alone(losses: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Four times the fewest shingles that a passage has alone."""
         sums = np.zeros((2 * reach + 2, shared.shape[1]), np.int16)
-        np.cumsum(np.where(shared, np.int16(1), losses), axis=0, out=sums[1:])
-        return (sums[ends] - np.minimum.accumulate(sums[: reach + 1], axis=0)[latest]).max(axis=0) >= 0
+        np.cumsum(np.where(shared, np.int16(0), -losses), axis=0, out=sums[1:])
+        return (sums[reach + 1 : reach + 1 + least] - sums[reach + 1 - least : reach + 1]).min(axis=0)
 
-    found_x, found_y = [], []
     for k in range(len(sizes_x)):
         shared = in_y[places_x[:, k]]
-        distinct = max(1, least - np.count_nonzero(loss_x[:, k] == 1))  # in a passage at least
+        distinct = max(1, least - weights_x[2][k])  # in a passage at least
         some = np.flatnonzero(5 * np.count_nonzero(shared, axis=0) >= 4 * distinct)
-        some = some[can_hold(loss_x[:, k, None], shared[:, some])] if len(some) else some
+        if not len(some):
+            continue
+        best = balance(gain_x[:, k, None], loss_x[:, k, None], shared[:, some])
+        some, best = some[best >= 0], best[best >= 0]
+        if not len(some):
+            continue
+        in_x = np.zeros(nobody + 1, bool)
+        in_x[places_x[:, k]] = True
+        in_x[nobody] = False
+        also, losses = in_x[places_y[:, some]], loss_y[:, some]
+        fits = balance(gain_y[:, some], losses, also) >= (alone(loss_x[:, k, None], shared[:, some]) if jaccard else 0)
+        if jaccard:
+            fits &= best >= alone(losses, also)
+        some = some[fits]
         if len(some):
-            in_x = np.zeros(nobody + 1, bool)
-            in_x[places_x[:, k]] = True
-            in_x[nobody] = False
-            some = some[can_hold(loss_y[:, some], in_x[places_y[:, some]])]
-            found_x.append(np.full(len(some), k)), found_y.append(some)
+            yield k, some, shared[:, some]
+
+
+def alike(x: np.ndarray, sizes_x: np.ndarray, before_x: np.ndarray, y: np.ndarray, sizes_y: np.ndarray, before_y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of surroundings that can hold a passage of similarity 0.8 round their places: ``least`` shingles or more, of which a fifth at most is not the other's.
+
+    ``x`` and ``y`` hold the shingles of all surroundings, one after the other, ``before`` how many of them stand before the place. A passage's distinct shingles
+    are at most those met on the way to its two ends if they are shared, and at least those of one side and what only the other side has if not, so no such pair is left out.
+    """
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_x]), np.concatenate([none, *found_y])
+    found = [(np.full(len(some), k), some) for k, some, _ in _alike_each(x, sizes_x, before_x, y, sizes_y, before_y, least)]
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+
+def furthest(shared: np.ndarray, reach: int, proven: Callable[[int], bool]) -> Iterator[int]:
+    """Of the proven columns the one with most shared shingles, and those whose stretch of the best balance reaches further before and after the place than that one's."""
+    first = next((m for m in np.argsort(-np.count_nonzero(shared, axis=0), kind="stable").tolist() if proven(m)), None)
+    if first is None:
+        return
+    yield first
+    sums = np.zeros((2 * reach + 2, shared.shape[1]), np.int16)
+    np.cumsum(np.where(shared, np.int16(1), np.int16(-8)), axis=0, out=sums[1:])
+    before = reach - sums[: reach + 1].argmin(axis=0)
+    after = reach - sums[: reach : -1].argmax(axis=0)
+    for far in (before, after):
+        further = np.flatnonzero(far > far[first])
+        order = further[np.argsort(-far[further], kind="stable")].tolist()
+        yield from islice((m for m in order if proven(m)), 1)
 
 
 def _alike(min_words: int):
     least = min_words - N + 1
+    reach = 2 * least - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (a, b, ca, cb) from lists of (query, check, centre, shingles): the pairs of a query and another that are ``alike``."""
-        for batch in batches:
-            lists = batch.column(0)
-            ends, flat = lists.offsets.to_numpy(), lists.values
-            query, check, centre, shingles = (flat.field(k) for k in range(4))
-            query, check, centre = query.to_numpy(zero_copy_only=False), check.to_numpy(), centre.to_numpy()
-            values, cuts = shingles.values.to_numpy(), shingles.offsets.to_numpy()
-            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
+        """Rows (a, b, anchor) from (middle, across, down, query, check, centre, shingles), sorted by the first three: for each query of a tile others that hold a
+        passage round its place (``furthest``); if none does there, all that are ``alike``. Equal surroundings are tried once, and a text with equal ones at several places with one of them."""
+        for table, ends in _unbroken(batches, ["middle", "across", "down"]):
+            query, check, centre = (table.column(n).to_numpy() for n in ("query", "check", "centre"))
+            shingles = table.column("shingles").combine_chunks()
+            values, cuts = shingles.flatten().to_numpy(), shingles.offsets.to_numpy()
+            cuts, before = cuts - cuts[0], np.minimum(centre, reach)
+            pairs: list[tuple[int, int, bool]] = []
             for low, high in zip(ends[:-1], ends[1:], strict=True):
-                sizes = np.diff(cuts[low : high + 1])
-                part, asks = values[cuts[low] : cuts[high]].astype(np.int64) & 0xFFFFFFFF, query[low:high]
-                if asks.all() or not asks.any():
+                kinds: dict[tuple[bytes, int], int] = {}
+                kind = {r: kinds.setdefault((values[cuts[r] : cuts[r + 1]].tobytes(), int(before[r])), r) for r in range(low, high)}
+                places: tuple[dict[tuple[int, int], list[int]], ...] = ({}, {})  # of each kind and text, the others and the queries
+                for r in range(low, high):
+                    places[int(query[r])].setdefault((kind[r], int(check[r])), []).append(r)
+                others, asking = (np.array([p[0] for p in x.values()], np.int64) for x in places)
+                if not len(others) or not len(asking):
                     continue
-                of_query = np.repeat(asks, sizes)
-                before = np.minimum(centre[low:high], 2 * least - 2)
-                i, j = alike(part[of_query], sizes[asks], before[asks], part[~of_query], sizes[~asks], before[~asks], least)
-                i, j = low + np.flatnonzero(asks)[i], low + np.flatnonzero(~asks)[j]
-                i, j = i[check[i] != check[j]], j[check[i] != check[j]]
-                swap = check[i] > check[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                for column, found in zip(columns, (check[i], check[j], centre[i], centre[j]), strict=True):
-                    column.append(found)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["a", "b", "ca", "cb"])
+                ordered = {r: _distinct(values[cuts[r] : cuts[r + 1]]) for r in set(kind.values())}
+                tried: dict[tuple[int, int], bool] = {}
+
+                def proven(i: int, m: int, kind=kind, ordered=ordered, tried=tried) -> bool:  # noqa: ANN001
+                    if (both := (kind[i], kind[m])) not in tried:
+                        one, two = (values[cuts[r] : cuts[r + 1]] for r in both)
+                        tried[both] = bool(passages(one, two, [(int(before[i]), int(before[m]))], min_words, ordered[both[0]], ordered[both[1]]))
+                    return tried[both]
+
+                def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    own = np.concatenate([values[cuts[r] : cuts[r + 1]] for r in rows]).astype(np.int64) & 0xFFFFFFFF
+                    return own, cuts[rows + 1] - cuts[rows], before[rows]
+
+                for k, some, shared in _alike_each(*flat(asking), *flat(others), least, jaccard=True):
+                    i, apart = int(asking[k]), check[others[some]] != check[asking[k]]
+                    j, shared = others[some[apart]].tolist(), shared[:, apart]
+                    taken = set(furthest(shared, reach, lambda m, i=i, j=j: proven(i, j[m])))
+                    pairs += [(q, j[m], bool(taken)) for q in places[1][kind[i], int(check[i])] for m in (taken or range(len(j)))]
+            if pairs:
+                i, j, sure = np.array(pairs).T
+                i, j = np.where(check[i] > check[j], j, i), np.where(check[i] > check[j], i, j)
+                columns = [check[i], check[j], centre[i].astype(np.int64) << 32 | sure << 31 | centre[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "anchor"])
 
     return run
 
@@ -565,21 +675,24 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts
 
 
-def candidates(joint: DataFrame, groups: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """(a, b, anchors): pairs of texts that share a key of JOINT, in large groups only those with the group's shortest text."""
-    small = joint.join(groups.where(F.col("n") <= all_pairs).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("check", "centres")).alias("m"))
-    pairs = small.select(F.explode(F.expr("filter(flatten(transform(m, x -> transform(m, y -> struct(x, y)))), p -> p.x.check < p.y.check)")).alias("p"))
-    pairs = pairs.select(F.col("p.x.check").alias("a"), F.col("p.y.check").alias("b"), F.col("p.x.centres").alias("ca"), F.col("p.y.centres").alias("cb"))
-    stars = joint.join(groups.where(F.col("n") > all_pairs), "key").where("lead.check <> check").select(
+def candidates(joint: DataFrame, groups: DataFrame, large: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """Rows of PAIR: pairs of texts that share a key of JOINT, in the groups of ``large`` only those with the group's shortest text."""
+    small = joint.join(groups.where(F.col("n") <= all_pairs).select("key").hint("shuffle_hash"), "key").groupBy("key").agg(F.collect_list(F.struct("check", "centres")).alias("m"))
+    pairs = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.check < y.check")
+    pairs = pairs.select(F.col("x.check").alias("a"), F.col("y.check").alias("b"), F.col("x.centres").alias("ca"), F.col("y.centres").alias("cb"))
+    lead = large.groupBy("key").agg(F.min(F.struct("n_words", "check", "centres")).alias("lead"))
+    stars = large.join(lead, "key").where("lead.check <> check").select(
         F.col("lead.check").alias("a"), F.col("check").alias("b"), F.col("lead.centres").alias("ca"), F.col("centres").alias("cb"))
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(F.col("a") < F.col("b"), F.col(s)).otherwise(F.col(t)).alias(s) for s, t in (("ca", "cb"), ("cb", "ca"))])
-    return materialise(pairs.unionByName(stars).groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("anchors")))
+    alone = (F.size("ca") == 1) & (F.size("cb") == 1)
+    anchor = F.when(alone, F.shiftleft(F.col("ca")[0].cast("long"), 32).bitwiseOR(F.col("cb")[0].cast("long")))
+    met = pairs.unionByName(stars).select("a", "b", anchor.alias("anchor"), F.when(~alone, F.struct("ca", "cb")).alias("more"))
+    return materialise(met.groupBy("a", "b").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("more").alias("repeats")))
 
 
-def rest(joint: DataFrame, groups: DataFrame, ranges: DataFrame, texts: DataFrame, min_words: int, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """(a, b, anchors): of large groups the pairs of a member whose minimum no range (check, first, last) covers with every other one that can hold a similar passage there."""
-    large = joint.join(groups.where(F.col("n") > all_pairs).select("key"), "key").select("key", "check", F.explode("centres").alias("centre")).distinct()
-    large = materialise(large)
+def rest(large: DataFrame, ranges: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """Rows of PAIR: of large groups each member whose minimum no range (check, first, last) covers, with another one that holds a similar passage there, or else with all that can hold one."""
+    large = large.select("key", "check", F.explode("centres").alias("centre"))
     within = (F.col("check") == F.col("r_check")) & (F.col("centre") >= F.col("first")) & (F.col("centre") <= F.col("last") - (N - 1))
     bare = materialise(large.join(ranges.select(F.col("check").alias("r_check"), "first", "last"), within, "left_anti"))
     members = large.join(bare.select("key").distinct(), "key", "left_semi").select("check", "centre").distinct()
@@ -587,7 +700,7 @@ def rest(joint: DataFrame, groups: DataFrame, ranges: DataFrame, texts: DataFram
     places = members.groupBy("check").agg(F.collect_list(F.struct("centre", F.coalesce("bare", F.lit(False)).alias("bare"))).alias("places"))
     local = texts.join(places, "check").select("check", "text", "places").mapInArrow(_surroundings(min_words), "check long, centre int, bare boolean, middle long, shingles array<int>")
     local = materialise(local)
-    release(large, bare)
+    release(bare)
     # The queries and the members of one middle shingle meet in tiles, so that no task holds a whole group.
     tiles = local.groupBy("middle").agg(F.ceil(F.count_if("bare") / QUERIES).cast("int").alias("across"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("down"))
     tiles = materialise(tiles.where("across > 0"))
@@ -597,11 +710,12 @@ def rest(joint: DataFrame, groups: DataFrame, ranges: DataFrame, texts: DataFram
     def dealt(rows: DataFrame, query: bool) -> DataFrame:
         mine, others = ("across", "down") if query else ("down", "across")
         rows = rows.withColumn(mine, F.pmod(own, F.col(mine)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
-        return rows.select("middle", "across", "down", F.struct(F.lit(query).alias("query"), "check", "centre", "shingles").alias("row"))
+        return rows.select("middle", "across", "down", F.lit(query).alias("query"), "check", "centre", "shingles")
 
-    met = dealt(tiled.where("bare"), True).unionByName(dealt(tiled, False)).groupBy("middle", "across", "down").agg(F.collect_list("row").alias("rows"))
-    pairs = met.select("rows").mapInArrow(_alike(min_words), "a long, b long, ca int, cb int")
-    found = materialise(pairs.groupBy("a", "b").agg(F.collect_set(F.struct(F.array("ca").alias("ca"), F.array("cb").alias("cb"))).alias("anchors")))
+    tile = ["middle", "across", "down"]
+    met = dealt(tiled.where("bare"), True).unionByName(dealt(tiled, False)).repartition(*tile).sortWithinPartitions(*tile)
+    pairs = met.mapInArrow(_alike(min_words), "a long, b long, anchor long").groupBy("a", "b").agg(F.collect_set("anchor").alias("anchors"))
+    found = materialise(pairs.withColumn("repeats", F.expr("cast(array() as array<struct<ca:array<int>,cb:array<int>>>)")))
     release(local, tiles)
     return found
 
@@ -615,17 +729,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     windows = materialise(texts.mapInArrow(_windows(min_words), WINDOWS))
     often = materialise(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    shared = windows.join(often, "key", "left_semi").dropDuplicates(["key", "check", "place"])
-    by_text = shared.groupBy("check", "n_words").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
+    shared = windows.join(often.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key", "check", "place"])
+    by_text = shared.select("check", "n_words", "key", "place").repartition("check").sortWithinPartitions("check")
     joint = materialise(by_text.mapInArrow(_joint, JOINT))
     first_of_text = (F.shiftright("place", 32) == F.shiftright("place", 16).bitwiseAND(0xFFFF)) & (F.col("key").bitwiseAND(3) == 0)
     sizes = materialise(windows.where(first_of_text).select("check", "n_words").distinct())
     release(windows, often)
-    groups = joint.groupBy("key").agg(F.count("*").alias("n"), F.max(F.size("centres")).alias("places"), F.min(F.struct("n_words", "check", "centres")).alias("lead"))
-    groups = materialise(groups.where("n > 1"))
+    groups = materialise(joint.groupBy("key").agg(F.count("*").alias("n"), F.max(F.size("centres")).alias("places")).where("n > 1"))
+    crowds = groups.where(F.col("n") > all_pairs).select("key")
+    large = materialise(joint.join(_hinted(crowds, crowds.count()), "key").select("key", "check", "n_words", "centres"))
 
     crowded = groups.where((F.col("key").bitwiseAND(7) == 0) & ((F.col("n") > all_pairs) | (F.col("places") > 1))).select("key")
-    crowded = materialise(joint.join(crowded, "key", "left_semi").groupBy("check").agg(F.collect_list("starts").alias("ranges")))
+    crowded = materialise(joint.join(_hinted(crowded, crowded.count()), "key", "left_semi").groupBy("check").agg(F.collect_list("starts").alias("ranges")))
     of_crowds = _texts(texts, crowded.select("check"))
     stretches = materialise(of_crowds.join(crowded, "check").mapInArrow(_exact(min_words), "key long, check long, first int"))
     release(crowded, of_crowds)
@@ -633,7 +748,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other = F.when(F.col("check") == F.col("least"), F.col("most")).otherwise(F.col("least"))
     exact = stretches.join(holders, "key").select("check", F.floor(F.col("first") / min_words).alias("place"), "first", (F.col("first") + F.lit(min_words - 1)).alias("last"), other.alias("other"))
 
-    met = candidates(joint, groups, all_pairs)
+    met = candidates(joint, groups, large, all_pairs)
+    release(joint, groups)
     both = _texts(texts, materialise(met.select(F.col("a").alias("check")).union(met.select("b")).distinct()))
 
     def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -652,8 +768,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     near = [united(exact.withColumn("exact", F.lit(True))), *in_parts(met, both)]
     release(stretches, holders, met)
-    more = rest(joint, groups, reduce(DataFrame.unionByName, near), both, min_words, all_pairs)
-    release(joint, groups)
+    more = rest(large, reduce(DataFrame.unionByName, near), both, min_words)
+    release(large)
     again = _texts(both, materialise(more.select(F.col("a").alias("check")).union(more.select("b")).distinct()))
     release(both)
     last = in_parts(more, again)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -576,6 +577,49 @@ def test_alike_surroundings_against_brute_force():
     assert want and want <= set(got) and len(set(got)) == len(got) < len(sides[0]) * len(sides[1])
 
 
+def crowd_tile(texts, places):
+    """One tile in which each of ``texts`` asks and is asked, at ``places``."""
+    bases = [substring_dedup.shingles(t.encode()).view(np.int64) for t in texts]
+    rows = [(7, 0, 0, asks, k, c, bases[k][max(0, c - 90) : c + 91].astype(np.int32)) for asks in (True, False) for k, c in enumerate(places)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+    names = ["middle", "across", "down", "query", "check", "centre", "shingles"]
+    return bases, pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
+def test_a_crowd_gives_pairs_in_proportion():
+    """Of 80 similar texts each is paired with few others, and none is left alone."""
+    r = random.Random(8)
+    passage = unlike(140_000, 60)
+    texts = [f"{unlike(141_000 + k, 10)} {' '.join([*spoilt(passage, 0, r).split()[:57], f'own{k}', *passage.split()[58:]])} {unlike(142_000 + k, 10)}" for k in range(80)]
+    _, batch = crowd_tile(texts, [20] * 80)
+    for batches in ([batch], [batch.slice(0, 50), batch.slice(50)]):
+        pairs = [p for b in substring_dedup._alike(50)(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert {x for p in pairs for x in p} == set(range(80)) and len(pairs) <= 3 * 80
+
+
+def test_the_joint_bound_loses_no_passage():
+    """Whatever passage lies round two places, their surroundings pass the bound for both texts together."""
+    r = random.Random(9)
+    texts = []
+    for k in range(60):
+        passage = unlike(150_000 + k % 6, 70)
+        edited = spoilt(passage, r.randrange(4), r).split()
+        at = r.randrange(40, 60)
+        edited[at:at] = unlike(151_000 + k, r.choice([0, 0, 1, 3, 30])).split()
+        edited = edited * r.choice([1, 1, 3])
+        texts.append(" ".join(edited))
+    bases = [substring_dedup.shingles(t.encode()) for t in texts]
+    places = [(k, int(np.flatnonzero(b == bases[k % 6][30])[0])) for k, b in enumerate(bases) if (b == bases[k % 6][30]).any()]
+    near = {k: bases[k][max(0, c - 90) : c + 91] for k, c in places}
+    small = {k: (v & np.uint64(0xFFFFFFFF)).astype(np.int64) for k, v in near.items()}
+    lists = np.concatenate(list(small.values())), np.array([len(v) for v in small.values()]), np.array([min(c, 90) for _, c in places])
+    passed = {(places[i][0], places[j][0]) for i, some, _ in substring_dedup._alike_each(*lists, *lists, 46, jaccard=True) for j in some}
+    at = dict(places)
+    want = {(a, b) for a in near for b in near if any(x[2] - x[1] - 3 < 91 for x in substring_dedup.passages(near[a], near[b], [(min(at[a], 90), min(at[b], 90))], 50))}
+    print(len(want), len(passed))
+    assert len(want) > 50 and want <= passed < {(a, b) for a in near for b in near}
+
+
 def test_shingles_of_many_texts_are_those_of_each():
     texts = [(t or "").encode() for t in TEXTS] + [b"a " * 300_000 + b"z" * 400_000 + b" tail of five more words", b"y" * 300_000]
     values, counts = substring_dedup.shingles_of(texts)
